@@ -6,5 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import tokenize
+from quire.sources.tables import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of byte_bpe_50k of every document."""
+    return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES["p7_ids"] = p7_ids
