@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import tokenize
+from quire.llm import lookalike, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,3 +20,34 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p7_ids"] = p7_ids
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_key, text) of the texts that problem 4 names."""
+    spans = table(spark, sf_dir, "spans").select(F.lit("spans").alias("tbl"), F.concat_ws("/", "doc_id", "page", "line_no", "span_no").alias("row_key"), "text")
+    bib = table(spark, sf_dir, "bib_entries").select(F.lit("bib_entries"), "entry_id", "title")
+    records = table(spark, sf_dir, "records").select(F.lit("records"), "record_id", "title")
+    return spans.union(bib).union(records)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a character that is taken for another or not seen."""
+    return lookalike.found(_titled(spark, sf_dir))
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of the three tables in its consistent form."""
+    return lookalike.normalise(_titled(spark, sf_dir)).select("tbl", "row_key", "text", "form")
+
+
+QUERIES |= {"p4_found": p4_found, "p4_forms": p4_forms}
+
+_LOOK = "".join(sorted(lookalike.LOOKALIKES))
+ORACLE["p4_found"] = (
+    "SELECT DISTINCT tbl, row_key FROM ("
+    "SELECT 'spans' AS tbl, concat_ws('/', doc_id, page, line_no, span_no) AS row_key, text FROM spans "
+    "UNION ALL SELECT 'bib_entries', entry_id, title FROM bib_entries UNION ALL SELECT 'records', record_id, title FROM records) "
+    r"WHERE regexp_matches(rtrim(text), '[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]|\x{00AD}.|[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+    r"|[\x{FF01}-\x{FF5E}]|[\x{FB00}-\x{FB06}]|[\x{1D400}-\x{1D7FF}]|[\x{0300}-\x{036F}]') "
+    rf"OR regexp_matches(text, '\p{{Latin}}[\p{{L}}\p{{M}}]*[{_LOOK}]|[{_LOOK}][\p{{L}}\p{{M}}]*\p{{Latin}}')"
+)
