@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, tokenize
+from quire.llm import copies, lookalike, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,23 @@ ORACLE["p4_found"] = (
     r"|[\x{FF01}-\x{FF5E}]|[\x{FB00}-\x{FB06}]|[\x{1D400}-\x{1D7FF}]|[\x{0300}-\x{036F}]') "
     rf"OR regexp_matches(text, '\p{{Latin}}[\p{{L}}\p{{M}}]*[{_LOOK}]|[{_LOOK}][\p{{L}}\p{{M}}]*\p{{Latin}}')"
 )
+
+
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical rows of the two tables that problem 6 names."""
+    papers = copies.canonical_rows(table(spark, sf_dir, "papers"), "papers", "id", ["title", "authors", "year", "venue", "pages", "doi", "url"], copies.canonical_publication)
+    bib = copies.canonical_rows(table(spark, sf_dir, "bib_entries"), "bib_entries", "entry_id", ["raw"], copies.canonical_text)
+    return papers.unionByName(bib)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest key of each set of copies with each other key."""
+    return copies.pairs(_prints(spark, sf_dir))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each set of copies, with their number."""
+    return copies.collapsed(_prints(spark, sf_dir))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_counts": p6_counts}
