@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import copies, lookalike, tokenize
+from quire.llm import copies, lookalike, spans, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,21 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_counts": p6_counts}
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a verbatim stretch of 200 or more code points in common."""
+    return spans.pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands in others too."""
+    return spans.shares(table(spark, sf_dir, "documents"))
+
+
+def p9_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each document that stand in others too."""
+    return spans.stretches(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_shares": p9_shares, "p9_stretches": p9_stretches}
