@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import copies, lookalike, spans, tokenize
+from quire.llm import copies, lookalike, mixing, spans, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,16 @@ def p9_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_shares": p9_shares, "p9_stretches": p9_stretches}
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes of mix_targets, document by document."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each mix reaches."""
+    return mixing.reached(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares}
