@@ -171,21 +171,17 @@ def _count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def buckets(groups: DataFrame, limit: int = BUCKET, deepest: int = 32) -> DataFrame:
-    """``groups`` with ``bucket``: the shortest prefix of the canonical bytes
-    whose bucket holds at most ``limit`` groups (equal bytes can't be split)."""
-    open_ = groups.select("tbl", "canon", F.lit("").alias("bucket"))
-    over = groups.groupBy("tbl").count().filter(F.col("count") > limit).select("tbl", F.lit("").alias("bucket"))
-    split: list[DataFrame] = []
-    depth = 0
+    """``groups`` with ``bucket``: the shortest prefix of one byte or more of the
+    canonical bytes whose bucket holds at most ``limit`` groups (equal bytes
+    can't be split)."""
+    out = groups.withColumn("bucket", F.substring("canon", 1, 2))
+    over = cut(out.groupBy("tbl", "bucket").count().filter(F.col("count") > limit).select("tbl", "bucket"))
+    depth = 2
     while depth < deepest and not over.isEmpty():
-        split.append(over)
         depth += 2
-        open_ = open_.join(over, ["tbl", "bucket"], "left_semi").withColumn("bucket", F.substring("canon", 1, depth))
-        over = cut(open_.groupBy("tbl", "bucket").count().filter(F.col("count") > limit).select("tbl", "bucket"))
-    out = groups.withColumn("bucket", F.lit(""))
-    for k, o in enumerate(split):
-        o = o.select("tbl", "bucket", F.lit(True).alias("__over"))
-        out = out.join(o, ["tbl", "bucket"], "left").withColumn("bucket", F.when(F.col("__over"), F.substring("canon", 1, 2 * k + 2)).otherwise(F.col("bucket"))).drop("__over")
+        marked = out.join(over.withColumn("__over", F.lit(True)), ["tbl", "bucket"], "left")
+        out = marked.withColumn("bucket", F.when(F.col("__over"), F.substring("canon", 1, depth)).otherwise(F.col("bucket"))).drop("__over")
+        over = cut(out.groupBy("tbl", "bucket").count().filter((F.col("count") > limit) & (F.length("bucket") == depth)).select("tbl", "bucket"))
     return out
 
 

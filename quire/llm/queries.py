@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import copies, lookalike, mixing, spans, tokenize
+from quire.llm import copies, lookalike, matching, mixing, spans, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations with the records of the work they cite."""
+    return matching.match(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "records")).select("entry_id", "record_id")
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations with the records of the work they cite, and how sure each match is."""
+    return matching.match(table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "records"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_confidence": p5_confidence}
