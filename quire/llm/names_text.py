@@ -24,7 +24,7 @@ def folded(text: str) -> str:
 def _is_foreign(word: str) -> bool:
     """Whether a word is wholly of another script."""
     letters = [c for c in word if c.isalpha() and c not in HIDDEN]
-    return bool(letters) and not any("a" <= c.lower() <= "z" for c in letters)
+    return bool(letters) and not any("LATIN" in unicodedata.name(c, "") for c in letters)
 
 
 def compact(text: str | None) -> str:

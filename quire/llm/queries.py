@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import copies, lookalike, matching, mixing, spans, tokenize
+from quire.llm import copies, lookalike, matching, mixing, names, spans, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,22 @@ def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_confidence": p5_confidence}
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, n) of every author list."""
+    parts = [names.listed(table(spark, sf_dir, t), "authors") for t in ("bib_entries", "records", "papers")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two spellings of one person or organisation."""
+    return names.pairs(_names(spark, sf_dir))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with the group it belongs to."""
+    return names.groups(_names(spark, sf_dir))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_groups": p1_groups}
