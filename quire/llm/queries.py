@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import copies, lookalike, matching, mixing, names, spans, tokenize
+from quire.llm import copies, lookalike, matching, mixing, names, scans, spans, tokenize
 from quire.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,17 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found, "p1_groups": p1_groups}
+
+
+def _repair(spark: SparkSession, sf_dir: str) -> scans.Repair:
+    bib, records = table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "records")
+    fields = scans.field_words(bib, "authors", "venue").unionByName(scans.field_words(records, "title", "authors", "venue"))
+    return scans.Repair(table(spark, sf_dir, "spans"), table(spark, sf_dir, "page_lines"), bib, fields)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken and misread words with their right forms, running headers and page numbers."""
+    return _repair(spark, sf_dir).found()
+
+
+QUERIES |= {"p2_found": p2_found}
