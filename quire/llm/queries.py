@@ -138,7 +138,7 @@ QUERIES |= {"p1_found": p1_found, "p1_groups": p1_groups}
 
 def _repair(spark: SparkSession, sf_dir: str) -> scans.Repair:
     bib, records = table(spark, sf_dir, "bib_entries"), table(spark, sf_dir, "records")
-    fields = scans.field_words(bib, "authors", "venue").unionByName(scans.field_words(records, "title", "authors", "venue"))
+    fields = scans.field_texts(bib, "authors", "venue").unionByName(scans.field_texts(records, "title", "authors", "venue"))
     return scans.Repair(table(spark, sf_dir, "spans"), table(spark, sf_dir, "page_lines"), bib, fields)
 
 

@@ -7,17 +7,17 @@ Inside a citation's text, a line between others that holds only a page number,
 or a venue's letters, year and page number, is one of these.
 
 Lexicon: the words of all lines with their counts, and the pairs of neighbours.
-A symmetric-delete index of the frequent words (every word under each string
-that one or two deletions leave) meets the same deletions of the rare ones; of the
-candidates that come out, those that confusion pairs explain are kept, the
-cheapest wins, then the more frequent beside the same neighbours (bigrams), then
-the more frequent word.
+A symmetric-delete index of the frequent words (every word under each string that
+deleting one or two confusable pieces leaves) meets the same deletions of the rare
+ones; of the candidates that come out, those that confusion pairs explain are
+kept, the cheapest wins, then the more frequent beside the same neighbours
+(bigrams), then the more frequent word.
 
 Broken words: a line's last part and the next line's first part are one word,
 unless the joined word is rarer than the hyphenated one (its own hyphen).
 
-Defined results: null and empty texts are no lines; rows delivered twice count
-once; words whose right form stands nowhere else are left as they are; ties take
+Defined results: null and empty texts are no lines; rows delivered twice give one
+result; words whose right form stands nowhere else are left as they are; ties take
 the smaller word; empty tables give no rows.
 """
 
@@ -25,15 +25,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.lookalike import HIDDEN, LOOKALIKES
 from quire.session import landed
 
+#: Right words held by every worker at most; more of them meet the tokens in a join.
+HELD = 300_000
+
 # What is printed and what a scan reads instead.
 CONFUSIONS = [
     ("e", "c"), ("i", "!"), ("a", "@"), ("i", "l"), ("t", "f"), ("o", "0"), ("n", "ri"), ("c", "("), ("s", "5"), ("l", "1"), ("u", "ii"), ("l", "|"),
@@ -46,84 +50,128 @@ RATIO, LEAST = 12, 4
 MOST = 2
 
 _BREAK = r"[-‐¬=­]"
-_STRIP_L, _STRIP_R = "“”\"'‘’[{<„«", "“”\"'‘’)]}>.,;:?!»"
+_END = re.compile(r"[“”\"'‘’)\]}>.,;:?!»*]+\Z")
+_START = re.compile(r"\A[“”\"'‘’\[{<„«*]+")
+_OPEN = re.compile(r"\A\(+")
+
 
+def clean(token: str) -> str:
+    """A token in lower case without punctuation around (a bracket that only opens may be a misread c)."""
+    if token.isalpha():
+        return token.lower()
+    t = _START.sub("", _END.sub("", token))
+    if t[:1] == "(" and (")" in token or not t[1:2].isalpha()):
+        t = _OPEN.sub("", t)
+    return t.lower()
 
-def clean(token: Column) -> Column:
-    """A token in lower case without punctuation around (a bracket that opens only may be a misread c)."""
-    t = F.regexp_replace(token, r"[“”\"'‘’)\]}>.,;:?!»*]+$", "")
-    t = F.regexp_replace(t, r"^[“”\"'‘’\[{<„«*]+", "")
-    t = F.when(t.rlike(r"^\(") & (token.contains(")") | ~t.rlike(r"^\(\p{L}")), F.regexp_replace(t, r"^\(+", "")).otherwise(t)
-    return F.lower(t)
 
+_DIGIT = "[0-9lIO]"
+FOLIO = rf"(?i)^\s*(?:page\s+{_DIGIT}+(?:\s+of\s+{_DIGIT}+)?|p\.\s*{_DIGIT}+|[-–—]\s*{_DIGIT}+\s*[-–—]|\[\s*{_DIGIT}+\s*\]|{_DIGIT}{{1,4}}\s*\|?|\|\s*{_DIGIT}{{1,4}})\s*$"
+RAW_FOLIO = rf"(?i)^\s*(?:page\s+{_DIGIT}+|[-–—]\s*{_DIGIT}+\s*[-–—]|\[\s*{_DIGIT}+\s*\]|p\.\s*{_DIGIT}+|{_DIGIT}{{1,3}}\s*\|?)\s*$"
+RAW_HEADER = rf"^\s*(?:[A-Z][A-Z!@(|015]{{3,5}}\s+[12]{_DIGIT}{{3}}\s+{_DIGIT}{{1,4}}|{_DIGIT}{{1,4}}\s+[A-Z][A-Z!@(|015]{{3,5}}\s+[12]{_DIGIT}{{3}})\s*$"
 
-def span_lines(spans: DataFrame) -> DataFrame:
-    """(tbl, doc_id, page, line_no, sub, text, y0, size) of the lines of spans."""
-    one = spans.filter("text IS NOT NULL").groupBy("doc_id", "page", "line_no")
-    parts = one.agg(F.array_sort(F.collect_set(F.struct("span_no", "text"))).alias("s"), F.min("y0").alias("y0"), F.max("size").alias("size"))
-    return parts.select(F.lit("spans").alias("tbl"), "doc_id", "page", "line_no", F.lit(0).alias("sub"), F.concat_ws("", "s.text").alias("text"), "y0", "size")
+LINES = "tbl string, doc_id long, page int, line_no int, sub int, text string, kind string, right string, first boolean"
+_NAMES = [f.split()[0] for f in LINES.split(", ")]
+_FOLIO, _RAW_FOLIO, _RAW_HEADER = re.compile(FOLIO), re.compile(RAW_FOLIO), re.compile(RAW_HEADER)
+_RUNS_ON = re.compile(r"(?:pages|pp\.?|\d\s*[-–—]|[\d(])\s*\Z", re.I)
+_LABEL = re.compile(r"\A\s*\[\s*\d+\s*\]\s*")
+_BROKEN = re.compile(r"[^\W\d_][-‐¬=­]\s*\Z")
+
+
+def _kinds(lines: list[tuple[int, str, float, float]]) -> list[str | None]:
+    """What each line (line_no, text, y0, size) of a page is."""
+    kinds: list[str | None] = [None] * len(lines)
+    order = sorted(range(len(lines)), key=lambda i: (lines[i][2], lines[i][0]))
+    ys = [lines[i][2] for i in order]
+    sizes = Counter(x[3] for x in lines)
+    body = max(sizes, key=lambda z: (sizes[z], z))
+    # in reading order, so that the columns of a page don't mix; a page of few lines may show no usual gap
+    gaps = [b[2] - a[2] for a, b in zip(lines, lines[1:], strict=False) if b[2] - a[2] >= max(1.0, 0.9 * body)]
+    leading = min(gaps) if len(gaps) > 3 else min([*gaps, 1.3 * body])
+    apart = leading * 1.1
+    if len(order) > 1:
+        first, last = order[0], order[-1]
+        if ys[1] - ys[0] > apart and lines[first][3] <= body + 0.4:
+            kinds[first] = "folio" if _FOLIO.match(lines[first][1]) else "header"
+        if ys[-1] - ys[-2] > apart and _FOLIO.match(lines[last][1]):
+            kinds[last] = "folio"
+    elif _FOLIO.match(lines[0][1]):
+        kinds[0] = "folio"
+    return kinds
+
+
+def _rights(texts: list[str], kinds: list[str | None]) -> list[tuple[str | None, bool]]:
+    """For each line the first part of the next body line, if it ends in a broken word, and whether it is the first body line."""
+    out: list[tuple[str | None, bool]] = [(None, False)] * len(texts)
+    body = [i for i, k in enumerate(kinds) if k is None and texts[i].strip()]
+    for n, i in enumerate(body):
+        right = texts[body[n + 1]].split(None, 1)[0] if n + 1 < len(body) and _BROKEN.search(texts[i]) else None
+        out[i] = (right, n == 0)
+    return out
 
 
-def page_lines(lines: DataFrame) -> DataFrame:
-    one = lines.filter("text IS NOT NULL").groupBy("doc_id", "page", "line_no").agg(F.min("text").alias("text"), F.min("y0").alias("y0"), F.max("size").alias("size"))
-    return one.select(F.lit("page_lines").alias("tbl"), "doc_id", "page", "line_no", F.lit(0).alias("sub"), "text", "y0", "size")
+def page_lines(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """The lines of all pages with their kind (header, folio, null: body), in one pass over each page's parts."""
+    at = ["doc_id", "page", "line_no"]
+    a = spans.select(F.lit("spans").alias("tbl"), *at, "span_no", "text", "y0", "size")
+    b = pages.select(F.lit("page_lines").alias("tbl"), *at, F.lit(0).alias("span_no"), "text", "y0", "size")
+    rows = a.unionByName(b).filter("text IS NOT NULL AND doc_id IS NOT NULL AND page IS NOT NULL AND line_no IS NOT NULL").fillna(0, ["span_no"])
+    ready = rows.repartition("doc_id", "page").sortWithinPartitions("tbl", "doc_id", "page", "line_no", "span_no", "text")
+
+    def page(key: tuple, parts: list[tuple]) -> list[tuple]:
+        lines: list[tuple[int, str, float, float]] = []
+        seen: tuple | None = None
+        for line_no, span_no, text, y0, size in parts:
+            if (line_no, span_no) == seen:
+                continue  # delivered twice
+            seen = (line_no, span_no)
+            y0, size = (0.0 if y0 is None or y0 != y0 else y0), (0.0 if size is None or size != size else size)
+            if lines and lines[-1][0] == line_no:
+                _, t, y, z = lines[-1]
+                lines[-1] = (line_no, t + text, min(y, y0), max(z, size))
+            else:
+                lines.append((line_no, text, y0, size))
+        kinds = _kinds(lines)
+        rights = _rights([x[1] for x in lines], kinds)
+        return [(*key, x[0], 0, x[1], k, r, f) for x, k, (r, f) in zip(lines, kinds, rights, strict=True)]
+
+    def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        parts: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for tbl, doc, pg, line_no, span_no, text, y0, size in zip(*[pdf[c].tolist() for c in ("tbl", "doc_id", "page", "line_no", "span_no", "text", "y0", "size")], strict=True):
+                if (tbl, doc, pg) != key:
+                    if parts:
+                        out += page(key, parts)
+                    key, parts = (tbl, doc, pg), []
+                parts.append((line_no, span_no, text, y0, size))
+            yield pd.DataFrame(out, columns=_NAMES)
+        if parts:
+            yield pd.DataFrame(page(key, parts), columns=_NAMES)
+
+    return ready.mapInPandas(op, LINES)
 
 
 def raw_lines(bib: DataFrame) -> DataFrame:
     """The lines inside citations; page is 0 and line_no the entry's number."""
-    one = bib.filter("raw IS NOT NULL AND doc_id IS NOT NULL AND entry_no IS NOT NULL").groupBy("doc_id", "entry_no").agg(F.min("raw").alias("raw"))
-    label = F.regexp_replace("raw", r"^\s*\[\s*\d+\s*\]\s*", "")
-    parts = one.select("doc_id", "entry_no", F.posexplode(F.split(label, "\n")).alias("sub", "text"))
-    n = F.lit(None).cast("double")
-    return parts.select(F.lit("bib_entries").alias("tbl"), "doc_id", F.lit(0).alias("page"), F.col("entry_no").alias("line_no"), "sub", "text", n.alias("y0"), n.alias("size"))
 
+    def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, no, raw in zip(pdf["doc_id"].tolist(), pdf["entry_no"].tolist(), pdf["raw"].tolist(), strict=True):
+                texts = _LABEL.sub("", raw).split("\n")
+                kinds: list[str | None] = [None] * len(texts)
+                for i in range(1, len(texts) - 1):
+                    if _RAW_HEADER.match(texts[i]):
+                        kinds[i] = "header"
+                    elif _RAW_FOLIO.match(texts[i]) and not _RUNS_ON.search(texts[i - 1]):
+                        kinds[i] = "folio"
+                rights = _rights(texts, kinds)
+                out += [("bib_entries", doc, 0, no, i, t, k, r, False) for i, (t, k, (r, _)) in enumerate(zip(texts, kinds, rights, strict=True))]
+            yield pd.DataFrame(out, columns=_NAMES)
 
-_DIGIT = "[0-9lIO]"
-FOLIO = rf"(?i)^\s*(?:page\s+{_DIGIT}+(?:\s+of\s+{_DIGIT}+)?|p\.\s*{_DIGIT}+|[-–—]\s*{_DIGIT}+\s*[-–—]|\[\s*{_DIGIT}+\s*\]|{_DIGIT}{{1,4}}\s*\|?|\|\s*{_DIGIT}{{1,4}})\s*$"
-RAW_FOLIO = rf"(?i)^\s*(?:page\s+{_DIGIT}+|[-–—]\s*{_DIGIT}+\s*[-–—]|\[\s*{_DIGIT}+\s*\]|p\.\s*{_DIGIT}+|{_DIGIT}{{1,3}}\s*\|?)\s*$"
-RAW_HEADER = rf"^\s*(?:[A-Z][A-Z!@(|015]{{3,5}}\s+[12]{_DIGIT}{{3}}\s+{_DIGIT}{{1,4}}|{_DIGIT}{{1,4}}\s+[A-Z][A-Z!@(|015]{{3,5}}\s+[12]{_DIGIT}{{3}})\s*$"
-HEADING = r"^\s*(?:\d+(?:\.\d+)*|[A-Z](?:\.\d+)*)\.?\s+\p{Lu}"
-
-
-def furniture(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``kind``: header, folio or null (a body line)."""
-    placed = lines.filter("y0 IS NOT NULL")
-    page = Window.partitionBy("tbl", "doc_id", "page").orderBy("y0", "line_no")
-    low = Window.partitionBy("tbl", "doc_id", "page").orderBy(F.desc("y0"), F.desc("line_no"))
-    seen = (
-        placed.withColumn("n", F.row_number().over(page))
-        .withColumn("m", F.row_number().over(low))
-        .withColumn("below", F.lead("y0").over(page) - F.col("y0"))
-        .withColumn("above", F.col("y0") - F.lag("y0").over(page))
-    )
-    gap = F.round("below", 1)
-    doc = seen.filter(F.col("below") > 1).groupBy("tbl", "doc_id", gap.alias("gap")).count()
-    leading = doc.groupBy("tbl", "doc_id").agg(F.max_by("gap", F.struct("count", -F.col("gap"))).alias("leading"))
-    sizes = seen.groupBy("tbl", "doc_id", "size").count().groupBy("tbl", "doc_id").agg(F.max_by("size", F.struct("count", "size")).alias("body"))
-    known = seen.join(leading, ["tbl", "doc_id"], "left").join(sizes, ["tbl", "doc_id"], "left")
-    apart = F.col("leading") * 1.1
-    folio = F.col("text").rlike(FOLIO) & (((F.col("m") == 1) & (F.coalesce("above", F.lit(1e9)) > apart)) | ((F.col("n") == 1) & (F.coalesce("below", F.lit(1e9)) > apart)))
-    large = F.col("size") > F.col("body") + 0.4
-    header = (F.col("n") == 1) & (F.col("below") > apart) & ~F.coalesce(large, F.lit(False))
-    out = known.withColumn("kind", F.when(folio, "folio").when(header, "header")).select(*lines.columns, "kind")
-    inner = Window.partitionBy("tbl", "doc_id", "page", "line_no").orderBy("sub")
-    raw = lines.filter("y0 IS NULL").withColumn("before", F.lag("text").over(inner)).withColumn("after", F.lead("text").over(inner))
-    between = F.col("before").isNotNull() & F.col("after").isNotNull()
-    runs_on = F.col("before").rlike(r"(?i)(?:pages|pp\.?|\d\s*[-–—]|[\d(])\s*$")
-    raw_kind = F.when(between & F.col("text").rlike(RAW_HEADER), "header").when(between & F.col("text").rlike(RAW_FOLIO) & ~runs_on, "folio")
-    return out.unionByName(raw.withColumn("kind", raw_kind).select(*lines.columns, "kind"))
-
-
-def followed(body: DataFrame) -> DataFrame:
-    """``body`` with ``next_text``: the next body line of the page, citation or next page."""
-    key = ["tbl", "doc_id", "page"]
-    in_page = Window.partitionBy(*key, F.when(F.col("tbl") == "bib_entries", F.col("line_no"))).orderBy("line_no", "sub")
-    lead = body.withColumn("next_text", F.lead("text").over(in_page))
-    firsts = body.filter("tbl <> 'bib_entries'").groupBy(*key).agg(F.min_by("text", F.struct("line_no", "sub")).alias("turned"))
-    firsts = firsts.withColumn("page", F.col("page") - 1)
-    broken = F.col("text").rlike(_BREAK + r"\s*$")
-    ends = lead.filter(broken & F.col("next_text").isNull() & (F.col("tbl") != "bib_entries")).join(firsts, key, "left").withColumn("next_text", F.col("turned")).drop("turned")
-    return lead.filter(~broken | F.col("next_text").isNotNull() | (F.col("tbl") == "bib_entries")).unionByName(ends)
+    return bib.filter("raw IS NOT NULL AND doc_id IS NOT NULL AND entry_no IS NOT NULL").select("doc_id", "entry_no", "raw").mapInPandas(op, LINES)
 
 
 def _form(text: str) -> str:
@@ -134,64 +182,101 @@ def _form(text: str) -> str:
 
 
 def breaks(lines: DataFrame) -> DataFrame:
-    """(tbl, doc_id, page, line_no, sub, mark, joined, hyphened, capital, left, right) of the lines that end in a broken word."""
+    """(tbl, doc_id, page, line_no, sub, mark, joined, hyphened, capital, left) of the body lines that end in a broken word."""
 
     def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = re.compile(r"(\S*[^\W\d_]\S*?)([-‐¬=­])\s*$")
+        end = re.compile(r"(\S*[^\W\d_])([-‐¬=­])\s*\Z")
         for pdf in parts:
             rows = []
-            for tbl, doc, page, line, sub, text, nxt in pdf.itertuples(index=False):
+            for tbl, doc, page, line, sub, text, right in pdf.itertuples(index=False):
                 m = end.search(text)
-                right = nxt.split(None, 1)[0] if nxt and nxt.strip() else ""
-                if not m or not right or not m.group(1)[-1].isalpha() or not (right[0].isalpha() or right[0] in "!@(|1056"):
+                if not m or not right or not (right[0].isalpha() or right[0] in "!@(|1056"):
                     continue
-                left = _form(m.group(1).lstrip(_STRIP_L + "("))
-                r = _form(right.rstrip(_STRIP_R + "*"))
+                left, r = _form(_OPEN.sub("", _START.sub("", m.group(1)))), _form(_END.sub("", right))
                 if left and r:
-                    capital = right[:1].isupper() and not m.group(1).isupper()
-                    rows.append((tbl, doc, page, line, sub, m.group(2), left + r, f"{left}-{r}", capital, left, r))
-            yield pd.DataFrame(rows, columns=["tbl", "doc_id", "page", "line_no", "sub", "mark", "joined", "hyphened", "capital", "left", "right"])
+                    rows.append((tbl, doc, page, line, sub, m.group(2), left + r, f"{left}-{r}", right[:1].isupper() and not m.group(1).isupper(), left))
+            yield pd.DataFrame(rows, columns=["tbl", "doc_id", "page", "line_no", "sub", "mark", "joined", "hyphened", "capital", "left"])
+
+    at = ["tbl", "doc_id", "page", "line_no", "sub", "text"]
+    broken = lines.filter(F.col("kind").isNull() & F.col("text").rlike(r"\p{L}" + _BREAK + r"\s*$"))
+    first = lines.filter("first").select("tbl", "doc_id", (F.col("page") - 1).alias("page"), F.element_at(F.split(F.trim("text"), r"\s+"), 1).alias("turned"))
+    turned = broken.filter("right IS NULL AND tbl <> 'bib_entries'").select(*at).join(first, ["tbl", "doc_id", "page"]).select(*at, F.col("turned").alias("right"))
+    schema = "tbl string, doc_id long, page int, line_no int, sub int, mark string, joined string, hyphened string, capital boolean, left string"
+    return broken.filter("right IS NOT NULL").select(*at, "right").unionByName(turned).mapInPandas(op, schema)
 
-    picked = lines.filter(F.col("text").rlike(r"\p{L}" + _BREAK + r"\s*$") & F.col("next_text").isNotNull())
-    schema = "tbl string, doc_id long, page int, line_no int, sub int, mark string, joined string, hyphened string, capital boolean, left string, right string"
-    return picked.select("tbl", "doc_id", "page", "line_no", "sub", "text", "next_text").mapInPandas(op, schema)
 
+def whole_words(text: str) -> Iterator[tuple[int, str, str]]:
+    """(place, shown, word) of a line's tokens but a broken last one."""
+    shown = text.split()
+    if shown and _BROKEN.search(text):
+        shown.pop()
+    for i, t in enumerate(shown):
+        yield i, t, clean(t)
 
-def tokens(body: DataFrame) -> DataFrame:
-    """(tbl, doc_id, page, line_no, sub, i, n, word, shown) of every token of the body lines."""
-    split = body.withColumn("ts", F.split(F.trim("text"), r"\s+"))
-    one = split.select("tbl", "doc_id", "page", "line_no", "sub", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "shown"), F.col("text").rlike(_BREAK + r"\s*$").alias("open"))
-    return one.withColumn("word", clean(F.col("shown")))
 
+_ODD = r"[!@(|$0-9]"
+_HAS_ODD = re.compile(_ODD)
+
+
+def lexicon(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """(word, n, capital): counts of the body lines' whole words and of structured
+    texts, and how many show a capital (a line's first word may be the rest of a
+    broken one: it is listed only if it is odd, and counts 0)."""
+
+    def count(structured: bool):
+        def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n: Counter[str] = Counter()
+            capital: Counter[str] = Counter()
+            for pdf in parts:
+                for text in pdf.iloc[:, 0].tolist():
+                    for i, t, w in whole_words(text):
+                        if not w:
+                            continue
+                        if i or structured:
+                            n[w] += 1
+                            if t[0].isupper() or (not t[0].isalpha() and t[1:2].isupper()):
+                                capital[w] += 1
+                        elif _HAS_ODD.search(w):
+                            n[w] += 0
+                if len(n) > 200_000:
+                    yield pd.DataFrame({"word": list(n), "n": list(n.values()), "capital": [capital[w] for w in n]})
+                    n.clear()
+                    capital.clear()
+            if n:
+                yield pd.DataFrame({"word": list(n), "n": list(n.values()), "capital": [capital[w] for w in n]})
 
-def lexicon(toks: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """(word, n, capital): counts of whole words (a line's first word may be the
-    rest of a broken one, and its last the start), and how many show a capital."""
-    inner = toks.filter("i > 0 AND NOT (i = n - 1 AND open)").select("word", "shown")
+        return op
+
+    schema = "word string, n long, capital long"
+    parts = lines.filter("kind IS NULL").select("text").mapInPandas(count(False), schema)
     if fields is not None:
-        inner = inner.unionByName(fields)
-    inner = inner.filter((F.length("word") > 0) & F.col("word").rlike(r"\p{L}"))
-    capital = F.when(F.col("shown").rlike(r"^\W*\p{Lu}"), 1).otherwise(0)
-    return inner.groupBy("word").agg(F.count("*").alias("n"), F.sum(capital).alias("capital"))
+        parts = parts.unionByName(fields.filter("text IS NOT NULL").select("text").mapInPandas(count(True), schema))
+    return parts.filter(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital"))
 
 
-def field_words(df: DataFrame, *columns: str) -> DataFrame:
-    """(word, shown) of structured text columns, which no scan went through."""
+def field_texts(df: DataFrame, *columns: str) -> DataFrame:
+    """(text) of structured columns, which no scan went through."""
     out = None
     for c in columns:
-        text = F.concat_ws(" ", c)
-        one = df.select(F.explode(F.split(text, r"\s+")).alias("shown")).select(clean(F.col("shown")).alias("word"), "shown")
+        one = df.select(F.concat_ws(" ", c).alias("text"))
         out = one if out is None else out.unionByName(one)
     assert out is not None
     return out
 
 
-def deletions(word: str, depth: int = 2) -> set[str]:
-    """The strings that up to ``depth`` deletions leave."""
-    level, out = {word}, {word}
-    for _ in range(depth):
-        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-        out |= level
+_PRINTED = sorted({a for a, _ in CONFUSIONS})
+_READ = sorted({b for _, b in CONFUSIONS})
+
+
+def deletions(word: str, pieces: list[str], depth: int) -> set[str]:
+    """What deleting up to ``depth`` confusable pieces leaves, with a mark at each place.
+
+    A word and its misreading leave the same string under the same deletions,
+    whichever piece was read for which."""
+    spots = [(i, i + len(p)) for p in pieces for i in range(len(word) - len(p) + 1) if word.startswith(p, i)]
+    out = {f"{word[:i]}\x00{word[j:]}" for i, j in spots}
+    if depth > 1:
+        out |= {f"{word[:i]}\x00{word[j:k]}\x00{word[m:]}" for i, j in spots for k, m in spots if k >= j}
     return out
 
 
@@ -213,28 +298,26 @@ def explained(read: str, right: str, most: int = MOST) -> int | None:
     return best.get((len(right), len(read)))
 
 
-_ODD = r"[!@(|$0-9]"
-
-
 def corrections(lex: DataFrame, more: DataFrame) -> DataFrame:
     """(word, right, cost, n_right): candidate right words of rare or odd words.
 
     ``more``: further words (column ``word``) to put right, such as joined ones."""
-    known = lex.select("word", "n", "capital")
-    asked = known.select("word", "n").unionByName(more.select("word", F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.max("n").alias("n"))
+    asked = lex.select("word", "n").unionByName(more.select("word", F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.max("n").alias("n"))
     asked = asked.filter((F.length("word") >= 4) & (F.length("word") <= 60) & F.col("word").rlike(r"\p{L}"))
-    right = known.filter((F.col("n") >= LEAST) & (F.length("word") >= 3) & (F.length("word") <= 60) & ~F.col("word").rlike(_ODD)).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    right = lex.filter((F.col("n") >= LEAST) & (F.length("word") >= 4) & (F.length("word") <= 60) & ~F.col("word").rlike(_ODD)).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
 
-    def spread(column: str):
+    def spread(column: str, pieces: list[str]):
         def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                rows = [(d, *r) for r in pdf.itertuples(index=False) for d in deletions(r[0])]
-                yield pd.DataFrame(rows, columns=["d", column, f"n_{column}"])
+                for k in range(0, len(pdf), 2000):
+                    rows = [(d, *r) for r in pdf.iloc[k : k + 2000].itertuples(index=False) for d in deletions(r[0], pieces, 1 if len(r[0]) < 7 else MOST)]
+                    yield pd.DataFrame(rows, columns=["d", column, f"n_{column}"])
 
         return op
 
-    a = asked.select("word", F.col("n").alias("n_word")).mapInPandas(spread("word"), "d string, word string, n_word long")
-    b = right.mapInPandas(spread("right"), "d string, right string, n_right long")
+    a = asked.select("word", F.col("n").alias("n_word")).mapInPandas(spread("word", _READ), "d string, word string, n_word long")
+    b = right.mapInPandas(spread("right", _PRINTED), "d string, right string, n_right long")
+    a, b = a.select(F.xxhash64("d").alias("d"), "word", "n_word"), b.select(F.xxhash64("d").alias("d"), "right", "n_right")
     met = a.join(b, "d").filter((F.col("word") != F.col("right")) & (F.col("n_right") >= RATIO * F.col("n_word"))).select("word", "right", "n_right").distinct()
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,43 +329,92 @@ def corrections(lex: DataFrame, more: DataFrame) -> DataFrame:
     return met.mapInPandas(score, "word string, right string, n_right long, cost int")
 
 
-def picked(cands: DataFrame, toks: DataFrame) -> DataFrame:
+def _beside(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(left, word, n): how often each of ``words`` stands right of another word."""
+    held = lines.sparkSession.sparkContext.broadcast(frozenset(r.word for r in words.toLocalIterator()))
+
+    def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[tuple[str, str]] = Counter()
+        for pdf in parts:
+            for text in pdf["text"].tolist():
+                left = ""
+                for _, _, w in whole_words(text):
+                    if w in held.value:
+                        n[left, w] += 1
+                    left = w
+        yield pd.DataFrame([(a, b, c) for (a, b), c in n.items()], columns=["left", "word", "n"])
+
+    return lines.filter("kind IS NULL").select("text").mapInPandas(op, "left string, word string, n long").groupBy("left", "word").agg(F.sum("n").alias("n"))
+
+
+def picked(cands: DataFrame, lines: DataFrame) -> DataFrame:
     """(word, right): the best candidate of each word: the cheapest, then the one
-    most often beside the word's neighbours, then the most frequent, then the smallest."""
+    most often beside the word's left neighbours, then the most frequent, then the smallest."""
     least = Window.partitionBy("word")
     cheap = cands.withColumn("least", F.min("cost").over(least)).filter("cost = least").withColumn("many", F.count("*").over(least))
     single = cheap.filter("many = 1").select("word", "right")
-    tied = cheap.filter("many > 1").select("word", "right", "n_right")
-    follow = toks.select("tbl", "doc_id", "page", "line_no", "sub", "i", "word")
-    beside = follow.withColumn("i", F.col("i") + 1).withColumnRenamed("word", "left")
-    pairs = follow.join(beside, ["tbl", "doc_id", "page", "line_no", "sub", "i"]).select("left", "word")
-    contexts = pairs.join(tied.select("word").distinct(), "word").groupBy("word", "left").count().withColumnRenamed("count", "w")
-    wanted = contexts.join(tied, "word").select("word", "left", "right", "w")
-    grams = pairs.join(tied.select(F.col("right").alias("word")).distinct(), "word").groupBy("left", F.col("word").alias("right")).count().withColumnRenamed("count", "g")
+    tied = landed(cheap.filter("many > 1").select("word", "right", "n_right"), "scan-ties")
+    words = tied.select("word").unionByName(tied.select(F.col("right").alias("word"))).distinct()
+    if words.count() <= HELD:
+        near = landed(_beside(lines, words), "scan-bigrams")
+    else:
+        near = landed(tokens(lines).join(words, "word", "left_semi").groupBy("left", "word").agg(F.count("*").alias("n")), "scan-bigrams")
+    wanted = near.select("word", "left", F.col("n").alias("w")).join(tied, "word")
+    grams = near.select("left", F.col("word").alias("right"), F.col("n").alias("g"))
     support = wanted.join(grams, ["left", "right"]).groupBy("word", "right").agg(F.sum(F.col("w") * F.log1p("g")).alias("support"))
     order = Window.partitionBy("word").orderBy(F.desc(F.coalesce("support", F.lit(0.0))), F.desc("n_right"), "right")
     best = tied.join(support, ["word", "right"], "left").withColumn("n", F.row_number().over(order)).filter("n = 1").select("word", "right")
     return single.unionByName(best)
 
 
+def tokens(lines: DataFrame) -> DataFrame:
+    """(tbl, doc_id, page, line_no, sub, i, shown, word, left) of the body lines' whole words."""
+
+    def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for *at, text in pdf.itertuples(index=False):
+                left = ""
+                for i, t, w in whole_words(text):
+                    rows.append((*at, i, t, w, left))
+                    left = w
+            yield pd.DataFrame(rows, columns=["tbl", "doc_id", "page", "line_no", "sub", "i", "shown", "word", "left"])
+
+    schema = "tbl string, doc_id long, page int, line_no int, sub int, i int, shown string, word string, left string"
+    return lines.filter("kind IS NULL").select("tbl", "doc_id", "page", "line_no", "sub", "text").mapInPandas(op, schema)
+
+
+_DATE = re.compile(r"(?:[1lI|!]9[0-9oOlI|]{2}|2[0oO][0-9oOlI|]{2})\Z")
+_TO_DIGITS = str.maketrans("oOlI|!", "001111")
+
+
+def year_of(word: str) -> str | None:
+    """The year that a token with letters for digits stands for."""
+    if len(word) == 4 and not word.isdigit() and _DATE.match(word):
+        y = word.translate(_TO_DIGITS)
+        return y if y.isdigit() and y[:2] in ("19", "20") else None
+    return None
+
+
+def _fits(shown: str, word: str, i: int, capital: int) -> bool:
+    """A capital inside a line where the right word never shows one is a name's."""
+    return i == 0 or capital > 0 or bool(_HAS_ODD.search(word)) or not shown.lstrip("“”\"'([{")[:1].isupper()
+
+
 class Repair:
     """The shared stages of the queries, each written once to the shared folder."""
 
     def __init__(self, spans: DataFrame, pages: DataFrame, bib: DataFrame, fields: DataFrame | None = None) -> None:
-        lines = landed(span_lines(spans).unionByName(page_lines(pages)).unionByName(raw_lines(bib)), "scan-lines")
-        self.lines = landed(furniture(lines), "scan-furniture")
-        body = self.lines.filter("kind IS NULL AND length(trim(text)) > 0")
-        self.body = body
-        self.breaks = landed(breaks(followed(body)), "scan-breaks")
-        self.tokens = tokens(body)
-        self.lexicon = landed(lexicon(self.tokens, fields), "scan-lexicon")
-        edge = self.tokens.filter(F.col("word").rlike(r"\p{L}") & F.col("word").rlike(_ODD) & ((F.col("i") == 0) | (F.col("i") == F.col("n") - 1))).select("word")
-        more = self.breaks.select(F.col("joined").alias("word")).unionByName(edge).distinct()
+        self.lines = landed(page_lines(spans, pages).unionByName(raw_lines(bib)), "scan-lines")
+        self.breaks = landed(breaks(self.lines), "scan-breaks")
+        self.lexicon = landed(lexicon(self.lines, fields), "scan-lexicon")
+        more = self.breaks.select(F.col("joined").alias("word")).distinct()
         cands = landed(corrections(self.lexicon, more), "scan-candidates")
-        self.right = landed(picked(cands, self.tokens), "scan-right")
+        capital = self.lexicon.select(F.col("word").alias("right"), "capital")
+        self.right = landed(picked(cands, self.lines).join(capital, "right"), "scan-right")
 
     def split_words(self) -> DataFrame:
-        """(tbl, doc_id, page, line_no, sub, word, joined, left, right): the whole words of the broken ones."""
+        """(tbl, doc_id, page, line_no, sub, word, joined, left): the whole words of the broken ones."""
         lex = self.lexicon.select("word", "n")
         marks = self.breaks.groupBy("tbl", "doc_id").agg(F.count_if(~F.col("mark").isin("-", "‐")).alias("other"))
         known = (
@@ -294,22 +426,47 @@ class Repair:
         )
         hyphen = F.col("mark").isin("-", "‐")
         unknown = (F.col("nj") == 0) & (F.col("nh") == 0) & F.col("fixed").isNull()
-        own = hyphen & ((F.col("nh") > F.col("nj")) & (F.col("fixed").isNull() | (F.col("nh") > 0)) | (unknown & F.col("capital")) | ((F.col("other") >= 3) & (F.col("nj") == 0)))
+        rarer = (F.col("nh") > F.col("nj")) & (F.col("fixed").isNull() | (F.col("nh") > 0))
+        own = hyphen & (rarer | (unknown & F.col("capital")) | ((F.col("other") >= 3) & (F.col("nj") == 0)))
         word = F.when((F.col("nj") > 0) & F.col("fixed").isNull(), F.col("joined")).otherwise(F.coalesce("fixed", "joined"))
-        return known.filter(~own).select("tbl", "doc_id", "page", "line_no", "sub", word.alias("word"), "joined", "left", "right")
+        return known.filter(~own).select("tbl", "doc_id", "page", "line_no", "sub", word.alias("word"), "joined", "left")
 
     def misread_words(self) -> DataFrame:
-        """(tbl, doc_id, page, line_no, sub, i, word): the right words of misread tokens that stand on one line."""
-        lex = self.right.join(self.lexicon.select(F.col("word").alias("right"), "n", F.col("capital").alias("c")), "right")
-        whole = self.tokens.filter("NOT (i = n - 1 AND open)").select("tbl", "doc_id", "page", "line_no", "sub", "i", "word", "shown")
-        hit = whole.join(lex.withColumnRenamed("n", "n_right"), "word")
-        # a capital inside a line where the right word shows none is a name
-        shows = F.col("shown").rlike(r"^\W*\p{Lu}") & ~F.col("word").rlike(_ODD) & (F.col("i") > 0)
-        fine = ~shows | (F.col("c") > 0)
-        words = hit.filter(fine).select("tbl", "doc_id", "page", "line_no", "sub", "i", F.col("right").alias("word"))
-        years = self.tokens.filter(F.col("word").rlike(r"^[12][0-9ol|!]{3}$|^[l|!i][90][0-9ol|!]{2}$") & ~F.col("word").rlike(r"^\d+$"))
-        dated = years.withColumn("y", F.translate("word", "ol|!i", "01111")).filter(F.col("y").rlike(r"^(?:19|20)\d\d$")).select("tbl", "doc_id", "page", "line_no", "sub", "i", F.col("y").alias("word"))
-        return words.unionByName(dated)
+        """(tbl, doc_id, page, line_no, sub, i, word): the right words of misread tokens that stand on one line.
+
+        The right words go to every worker if there are ``HELD`` of them at most, else they meet the tokens in a join."""
+        schema = "tbl string, doc_id long, page int, line_no int, sub int, i int, word string"
+        names = [f.split()[0] for f in schema.split(", ")]
+        if self.right.count() <= HELD:
+            held = self.lines.sparkSession.sparkContext.broadcast({r.word: (r.right, r.capital) for r in self.right.toLocalIterator()})
+
+            def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                right = held.value
+                for pdf in parts:
+                    rows = []
+                    for *at, text in zip(*[pdf[c].tolist() for c in ("tbl", "doc_id", "page", "line_no", "sub", "text")], strict=True):
+                        for i, t, w in whole_words(text):
+                            hit = right.get(w)
+                            if hit and _fits(t, w, i, hit[1]):
+                                rows.append((*at, i, hit[0]))
+                            elif len(w) == 4 and (y := year_of(w)):
+                                rows.append((*at, i, y))
+                    yield pd.DataFrame(rows, columns=names)
+
+            return self.lines.filter("kind IS NULL").select("tbl", "doc_id", "page", "line_no", "sub", "text").mapInPandas(op, schema)
+
+        def late(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                rows = []
+                for *at, i, t, w, right, capital in pdf.itertuples(index=False):
+                    if right is not None and _fits(t, w, i, capital):
+                        rows.append((*at, i, right))
+                    elif y := year_of(w):
+                        rows.append((*at, i, y))
+                yield pd.DataFrame(rows, columns=names)
+
+        toks = tokens(self.lines).join(self.right, "word", "left").filter(F.col("right").isNotNull() | (F.length("word") == 4))
+        return toks.select("tbl", "doc_id", "page", "line_no", "sub", "i", "shown", "word", "right", "capital").mapInPandas(late, schema)
 
     def found(self) -> DataFrame:
         """(tbl, doc_id, page, line_no, kind, word)."""
@@ -317,8 +474,8 @@ class Repair:
         split = self.split_words()
         parts = split.select(*at, F.lit("split").alias("kind"), "word")
         one = self.misread_words().select(*at, F.lit("misread").alias("kind"), "word")
-        # a broken word that is misread too: on the line that shows the wrong part
-        wrong = split.filter("word <> joined")
-        here = wrong.filter(~F.expr("startswith(word, left)")).select(*at, F.lit("misread").alias("kind"), "word")
+        # a broken word that is misread in its first part too
+        wrong = split.filter((F.col("word") != F.col("joined")) & ~F.expr("startswith(word, left)"))
+        here = wrong.select(*at, F.lit("misread").alias("kind"), "word")
         edges = self.lines.filter("kind IS NOT NULL").select(*at, "kind", F.lit("").alias("word"))
         return parts.unionByName(one).unionByName(here).unionByName(edges).distinct()

@@ -56,4 +56,12 @@ def test_explained(read, right, cost):
 
 def test_deletions_meet_for_every_confusion():
     for (a, b), word in itertools.product(CONFUSIONS, ["x{}yz", "{}ab", "ab{}"]):
-        assert deletions(word.format(a)) & deletions(word.format(b))
+        assert deletions(word.format(a), [p for p, _ in CONFUSIONS], 1) & deletions(word.format(b), [r for _, r in CONFUSIONS], 1)
+
+
+def test_join_beyond_the_held_size_gives_the_same(spark, monkeypatch):
+    from quire.llm import scans
+
+    want = sorted(map(tuple, Repair(*_inputs(spark)).found().collect()))
+    monkeypatch.setattr(scans, "HELD", -1)
+    assert sorted(map(tuple, Repair(*_inputs(spark)).found().collect())) == want
