@@ -8,13 +8,12 @@ import unicodedata
 from quire.llm.lookalike import HIDDEN, LOOKALIKES
 
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in HIDDEN} | {ord(k): v for k, v in {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "ı": "i", "þ": "th", "ð": "d"}.items()}
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]{2,}")
-_ASCII = re.compile(r"[\x00-\x7f]*\Z")
+_GAPS = re.compile(r"[\W_]+")
 
 
 def folded(text: str) -> str:
     """Lower case without accents and look-alikes; words of another script stay."""
-    if _ASCII.match(text):
+    if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKD", text)
     words = [w if _is_foreign(w) else w.translate(_FOLD) for w in re.split(r"(\s+)", text)]
@@ -29,7 +28,7 @@ def _is_foreign(word: str) -> bool:
 
 def compact(text: str | None) -> str:
     """Letters and digits of the folded text."""
-    return "".join(c for c in folded(text) if c.isalnum()) if text else ""
+    return _GAPS.sub("", folded(text)) if text else ""
 
 
 def words(text: str | None) -> list[str]:
