@@ -234,12 +234,12 @@ def percentage_arithmetic(spark: SparkSession, d: str) -> DataFrame:
 
 @add(
     "decimal_precision",
-    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]+(?:\\.[0-9]+)?')) AS h FROM documents), v AS (SELECT doc_id, replace(h, '%', '') AS v FROM t),
+    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9A-Za-z.])([0-9]+(?:\\.[0-9]+)?)', 1)) AS h FROM documents), v AS (SELECT doc_id, replace(h, '%', '') AS v FROM t),
     g AS (SELECT doc_id, CASE WHEN contains(v, '.') THEN length(string_split(v, '.')[2]) ELSE 0 END AS places, count(*) AS n, min(CAST(v AS DOUBLE)) AS low, max(CAST(v AS DOUBLE)) AS high FROM v GROUP BY 1, 2 HAVING count(*) >= 2),
     w AS (SELECT *, lead(low) OVER (PARTITION BY doc_id ORDER BY low, places) AS nl, lag(high) OVER (PARTITION BY doc_id ORDER BY low, places) AS ph FROM g) SELECT doc_id, places, n, low, high FROM w WHERE nl <= high OR ph >= low""",
 )
 def decimal_precision(spark: SparkSession, d: str) -> DataFrame:
-    v = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]+(?:\.[0-9]+)?"), 0)).alias("h")).select("doc_id", F.replace("h", F.lit("%"), F.lit("")).alias("v"))
+    v = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^0-9A-Za-z.])([0-9]+(?:\.[0-9]+)?)"), 1)).alias("h")).select("doc_id", F.replace("h", F.lit("%"), F.lit("")).alias("v"))
     return S.precision_groups(v, ["doc_id"], "v").withColumn("places", F.col("places").cast("bigint"))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import layout_queries, nested_queries, text_queries
+from quire.operators import layout_queries, nested_queries, resolve_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (nested_queries, layout_queries, text_queries)
+_MODULES = (nested_queries, layout_queries, text_queries, resolve_queries)
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
