@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import layout_queries, nested_queries, resolve_queries, text_queries
+from quire.plans import plan_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (nested_queries, layout_queries, text_queries, resolve_queries)
+_MODULES = (nested_queries, layout_queries, text_queries, resolve_queries, plan_queries)
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
