@@ -205,6 +205,26 @@ def breaks(lines: DataFrame) -> DataFrame:
     return broken.filter("right IS NOT NULL").select(*at, "right").unionByName(turned).mapInPandas(op, schema)
 
 
+#: Readings of tokens that a worker remembers at most.
+MEMO = 300_000
+
+
+def remembered(read):
+    """``read`` of a token with a bounded memory."""
+    memo: dict = {}
+
+    def get(token: str):
+        try:
+            return memo[token]
+        except KeyError:
+            if len(memo) > MEMO:
+                memo.clear()
+            out = memo[token] = read(token)
+            return out
+
+    return get
+
+
 def whole_words(text: str) -> Iterator[tuple[int, str, str]]:
     """(place, shown, word) of a line's tokens but a broken last one."""
     shown = text.split()
@@ -223,27 +243,39 @@ def lexicon(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     texts, and how many show a capital (a line's first word may be the rest of a
     broken one: it is listed only if it is odd, and counts 0)."""
 
+    def rows(shown: Counter[str], odd: set[str]) -> pd.DataFrame:
+        n: Counter[str] = Counter()
+        capital: Counter[str] = Counter()
+        for t, k in shown.items():
+            if w := clean(t):
+                n[w] += k
+                if t[0].isupper() or (not t[0].isalpha() and t[1:2].isupper()):
+                    capital[w] += k
+        for t in odd:
+            if w := clean(t):
+                n[w] += 0
+        return pd.DataFrame({"word": list(n), "n": list(n.values()), "capital": [capital[w] for w in n]})
+
     def count(structured: bool):
         def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n: Counter[str] = Counter()
-            capital: Counter[str] = Counter()
+            shown: Counter[str] = Counter()
+            odd: set[str] = set()
             for pdf in parts:
                 for text in pdf.iloc[:, 0].tolist():
-                    for i, t, w in whole_words(text):
-                        if not w:
-                            continue
-                        if i or structured:
-                            n[w] += 1
-                            if t[0].isupper() or (not t[0].isalpha() and t[1:2].isupper()):
-                                capital[w] += 1
-                        elif _HAS_ODD.search(w):
-                            n[w] += 0
-                if len(n) > 200_000:
-                    yield pd.DataFrame({"word": list(n), "n": list(n.values()), "capital": [capital[w] for w in n]})
-                    n.clear()
-                    capital.clear()
-            if n:
-                yield pd.DataFrame({"word": list(n), "n": list(n.values()), "capital": [capital[w] for w in n]})
+                    toks = text.split()
+                    if not structured and toks:
+                        if _BROKEN.search(text):
+                            toks.pop()
+                        if toks and _HAS_ODD.search(toks[0]):
+                            odd.add(toks[0])
+                        del toks[:1]
+                    shown.update(toks)
+                if len(shown) + len(odd) > 200_000:
+                    yield rows(shown, odd)
+                    shown.clear()
+                    odd.clear()
+            if shown or odd:
+                yield rows(shown, odd)
 
         return op
 
@@ -256,12 +288,7 @@ def lexicon(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
 
 def field_texts(df: DataFrame, *columns: str) -> DataFrame:
     """(text) of structured columns, which no scan went through."""
-    out = None
-    for c in columns:
-        one = df.select(F.concat_ws(" ", c).alias("text"))
-        out = one if out is None else out.unionByName(one)
-    assert out is not None
-    return out
+    return df.select(F.concat_ws(" ", *columns).alias("text"))
 
 
 _PRINTED = sorted({a for a, _ in CONFUSIONS})
@@ -335,13 +362,16 @@ def _beside(lines: DataFrame, words: DataFrame) -> DataFrame:
 
     def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[tuple[str, str]] = Counter()
+        word, words = remembered(clean), held.value
         for pdf in parts:
             for text in pdf["text"].tolist():
-                left = ""
-                for _, _, w in whole_words(text):
-                    if w in held.value:
-                        n[left, w] += 1
-                    left = w
+                shown = text.split()
+                if shown and _BROKEN.search(text):
+                    shown.pop()
+                ws = [word(t) for t in shown]
+                for i, w in enumerate(ws):
+                    if w in words:
+                        n[ws[i - 1] if i else "", w] += 1
         yield pd.DataFrame([(a, b, c) for (a, b), c in n.items()], columns=["left", "word", "n"])
 
     return lines.filter("kind IS NULL").select("text").mapInPandas(op, "left string, word string, n long").groupBy("left", "word").agg(F.sum("n").alias("n"))
@@ -355,7 +385,10 @@ def picked(cands: DataFrame, lines: DataFrame) -> DataFrame:
     single = cheap.filter("many = 1").select("word", "right")
     tied = landed(cheap.filter("many > 1").select("word", "right", "n_right"), "scan-ties")
     words = tied.select("word").unionByName(tied.select(F.col("right").alias("word"))).distinct()
-    if words.count() <= HELD:
+    asked = words.count()
+    if not asked:
+        return single
+    if asked <= HELD:
         near = landed(_beside(lines, words), "scan-bigrams")
     else:
         near = landed(tokens(lines).join(words, "word", "left_semi").groupBy("left", "word").agg(F.count("*").alias("n")), "scan-bigrams")
@@ -442,15 +475,23 @@ class Repair:
 
             def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 right = held.value
+
+                def read(token: str):
+                    w = clean(token)
+                    hit = right.get(w)
+                    return (w, *hit) if hit else (w, y, 1) if len(w) == 4 and (y := year_of(w)) else None
+
+                get = remembered(read)
                 for pdf in parts:
                     rows = []
                     for *at, text in zip(*[pdf[c].tolist() for c in ("tbl", "doc_id", "page", "line_no", "sub", "text")], strict=True):
-                        for i, t, w in whole_words(text):
-                            hit = right.get(w)
-                            if hit and _fits(t, w, i, hit[1]):
-                                rows.append((*at, i, hit[0]))
-                            elif len(w) == 4 and (y := year_of(w)):
-                                rows.append((*at, i, y))
+                        shown = text.split()
+                        if shown and _BROKEN.search(text):
+                            shown.pop()
+                        for i, t in enumerate(shown):
+                            hit = get(t)
+                            if hit and _fits(t, hit[0], i, hit[2]):
+                                rows.append((*at, i, hit[1]))
                     yield pd.DataFrame(rows, columns=names)
 
             return self.lines.filter("kind IS NULL").select("tbl", "doc_id", "page", "line_no", "sub", "text").mapInPandas(op, schema)
