@@ -14,7 +14,7 @@ from quire.functions import columns as C
 # Title and author thresholds of a judgement, years of slack.
 ACCEPT, REVIEW, AUTHOR, ALONE, SLACK = 0.90, 0.72, 0.34, 0.95, 2
 #: Letters of the compact title that a citation and a record must share to be compared.
-BLOCK = 12
+BLOCK = 24
 
 
 def dedupe_groups(bib: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def _pairs_sql() -> str:
     """Candidates that share a title key's two longest words, with their scores."""
     return f"""(SELECT e.entry_id, r.record_id, e.year AS ey, r.year AS ry, len(list_intersect(e.t, r.t)) AS c, least(len(e.t), len(r.t)) AS l, len(list_distinct(list_concat(e.t, r.t))) AS u,
     e.s AS es, r.s AS rs FROM (SELECT entry_id, year, {_TOK.format(duck_title("title"))} AS t, list_distinct(list_filter(list_transform(authors, lambda n: {duck_surname("n")}), lambda s: s <> '')) AS s, replace({duck_title("title")}, ' ', '') AS k FROM {BIB} WHERE title IS NOT NULL) e
-    JOIN (SELECT record_id, year, {_TOK.format(duck_title("title"))} AS t, list_distinct(list_filter(list_transform(authors, lambda n: {duck_surname("n")}), lambda s: s <> '')) AS s, replace({duck_title("title")}, ' ', '') AS k FROM {REC} WHERE title IS NOT NULL) r ON left(e.k, 12) = left(r.k, 12) AND length(e.k) >= 12)"""
+    JOIN (SELECT record_id, year, {_TOK.format(duck_title("title"))} AS t, list_distinct(list_filter(list_transform(authors, lambda n: {duck_surname("n")}), lambda s: s <> '')) AS s, replace({duck_title("title")}, ' ', '') AS k FROM {REC} WHERE title IS NOT NULL) r ON left(e.k, 24) = left(r.k, 24) AND length(e.k) >= 24)"""
 
 
 _SCORED = f"""(SELECT *, CASE WHEN l > 0 THEN 0.5 * c / u + 0.5 * c / l ELSE 0.0 END AS score, CASE WHEN least(len(es), len(rs)) > 0 THEN len(list_intersect(es, rs)) / least(len(es), len(rs)) END AS authors FROM {_pairs_sql()})"""
