@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -15,9 +16,14 @@ def folded(text: str) -> str:
     """Lower case without accents and look-alikes; words of another script stay."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text)
-    words = [w if _is_foreign(w) else w.translate(_FOLD) for w in re.split(r"(\s+)", text)]
-    return "".join(c for c in unicodedata.normalize("NFKD", "".join(words)) if not unicodedata.combining(c)).casefold()
+    return " ".join(w.lower() if w.isascii() else _folded_word(w) for w in text.split(" "))
+
+
+@functools.lru_cache(1 << 16)
+def _folded_word(word: str) -> str:
+    flat = unicodedata.normalize("NFKD", word)
+    parts = [w if _is_foreign(w) else w.translate(_FOLD) for w in re.split(r"(\s+)", flat)]
+    return "".join(c for c in unicodedata.normalize("NFKD", "".join(parts)) if not unicodedata.combining(c)).casefold()
 
 
 def _is_foreign(word: str) -> bool:
