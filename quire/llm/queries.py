@@ -147,4 +147,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repair(spark, sf_dir).found()
 
 
-QUERIES |= {"p2_found": p2_found}
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired texts as continuous paragraphs."""
+    return _repair(spark, sf_dir).paragraphs()
+
+
+QUERIES |= {"p2_found": p2_found, "p2_paragraphs": p2_paragraphs}

@@ -520,3 +520,91 @@ class Repair:
         here = wrong.select(*at, F.lit("misread").alias("kind"), "word")
         edges = self.lines.filter("kind IS NOT NULL").select(*at, "kind", F.lit("").alias("word"))
         return parts.unionByName(one).unionByName(here).unionByName(edges).distinct()
+
+    def repaired_lines(self) -> DataFrame:
+        """(tbl, doc_id, page, line_no, sub, text, fresh) of the body lines: broken words
+        whole on their first line, misread words put right; ``fresh`` where a
+        paragraph starts."""
+        at = ["tbl", "doc_id", "page", "line_no", "sub"]
+        body = self.lines.filter("kind IS NULL AND length(trim(text)) > 0").select(*at, "text")
+        joins = self.split_words().groupBy(*at).agg(F.min("word").alias("whole"))
+        fixes = self.misread_words().groupBy(*at).agg(F.sort_array(F.collect_set(F.concat_ws(" ", "i", "word"))).alias("fixes"))
+        full = body.join(joins, at, "left").join(fixes, at, "left")
+        # a citation is one unit, a page another; units are linked at their edges
+        unit = ["tbl", "doc_id", "page", F.when(F.col("tbl") == "bib_entries", F.col("line_no")).otherwise(0)]
+        w = Window.partitionBy(*unit).orderBy("line_no", "sub")
+        seen = full.withColumn("before", F.lag("text").over(w)).withColumn("taken", F.lag(F.col("whole").isNotNull()).over(w)).withColumn("last", F.lead("text").over(w).isNull())
+        seen = seen.withColumn("widest", F.max(F.length("text")).over(Window.partitionBy(*unit)))
+        turned = seen.filter("last AND tbl <> 'bib_entries'").select("tbl", "doc_id", (F.col("page") + 1).alias("page"), F.col("text").alias("p_text"), F.col("whole").isNotNull().alias("p_taken"))
+        linked = seen.join(turned, ["tbl", "doc_id", "page"], "left")
+        first = F.col("before").isNull()
+        prev = F.when(first, F.col("p_text")).otherwise(F.col("before"))
+        taken = F.coalesce(F.when(first, F.col("p_taken")).otherwise(F.col("taken")), F.lit(False))
+        heading = r"^\s*\d+(?:\.\d+)*\.?\s+\p{Lu}[^.]{0,80}$"
+        ended = prev.rlike(r"[.!?:]['\"”)]*\s*$") & (first | (F.length(prev) < 0.85 * F.col("widest")))
+        fresh = prev.isNull() | F.col("text").rlike(heading) | prev.rlike(heading) | (ended & ~taken)
+        fresh = F.when((F.col("tbl") == "bib_entries") & ~first, F.lit(False)).otherwise(fresh)
+
+        def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                texts = [_repaired(t, fx, whole, took) for t, fx, whole, took in zip(pdf["text"], pdf["fixes"], pdf["whole"], pdf["taken"], strict=True)]
+                yield pdf[["tbl", "doc_id", "page", "line_no", "sub"]].assign(text=texts, fresh=pdf["fresh"])
+
+        ready = linked.select(*at, "text", F.array_join("fixes", "\n").alias("fixes"), "whole", taken.alias("taken"), fresh.alias("fresh"))
+        return ready.mapInPandas(op, "tbl string, doc_id long, page int, line_no int, sub int, text string, fresh boolean")
+
+    def paragraphs(self) -> DataFrame:
+        """(tbl, doc_id, para, page, text): the repaired text as continuous paragraphs.
+
+        Paragraphs are counted per page and the pages' counts summed, so that no
+        task holds a whole volume; a paragraph runs on over page ends."""
+        lines = landed(self.repaired_lines(), "scan-repaired")
+        unit = ["tbl", "doc_id", "page", F.when(F.col("tbl") == "bib_entries", F.col("line_no")).otherwise(0).alias("part")]
+        counted = lines.withColumn("part", F.when(F.col("tbl") == "bib_entries", F.col("line_no")).otherwise(0))
+        starts = counted.groupBy(*unit).agg(F.sum(F.col("fresh").cast("int")).alias("n"))
+        before = Window.partitionBy("tbl", "doc_id").orderBy("page", "part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = starts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        run = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("tbl", "doc_id", "page", "part").orderBy("line_no", "sub"))
+        at = counted.withColumn("k", run).join(offsets, ["tbl", "doc_id", "page", "part"]).withColumn("para", (F.col("k") + F.col("offset")).cast("int"))
+        parts = at.groupBy("tbl", "doc_id", "para").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "sub", "text"))).alias("ls"))
+        text = F.array_join(F.filter(F.transform("ls", lambda x: F.trim(x["text"])), lambda t: t != ""), "\x02")
+        # marks that closed a taken part belong to the word before; after an own hyphen nothing stands between
+        closed = F.replace(F.regexp_replace(F.regexp_replace(text, "\x02?\x01", ""), r"([\p{L}\p{N}]-)\x02(?=[\p{L}\p{N}])", "$1"), F.lit("\x02"), F.lit(" "))
+        return parts.select("tbl", "doc_id", "para", F.col("ls")[0]["page"].alias("page"), closed.alias("text"))
+
+
+def _cased(right: str, shown: str) -> str:
+    """``right`` in the case of what was shown."""
+    letters = [c for c in shown if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return right.upper()
+    return right[:1].upper() + right[1:] if shown[:1].isupper() else right
+
+
+def _put(token: str, right: str) -> str:
+    """A token with its word replaced, the punctuation around kept."""
+    start = _START.match(token)
+    core = _START.sub("", _END.sub("", token))
+    head = start.group() if start else ""
+    end = _END.search(token[len(head) :])
+    return head + _cased(right, core) + (end.group() if end else "")
+
+
+def _repaired(text: str, fixes: str | None, whole: str | None, taken: bool) -> str:
+    """One line: its first part gone where the line before took it, its misread
+    words right, its broken last word whole."""
+    shown = text.split()
+    for f in (fixes or "").split("\n"):
+        if f:
+            i, right = f.split(" ", 1)
+            if int(i) < len(shown):
+                shown[int(i)] = _put(shown[int(i)], right)
+    if whole and shown:
+        head = _START.match(shown[-1])
+        shown[-1] = (head.group() if head else "") + _cased(whole, _START.sub("", shown[-1]))
+    rest = shown[1:] if taken else shown
+    if taken and shown:
+        tail = _END.search(shown[0])
+        mark = tail.group() if tail else ""
+        return f"\x01{mark} {' '.join(rest)}" if mark else " ".join(rest)
+    return " ".join(rest)

@@ -65,3 +65,13 @@ def test_join_beyond_the_held_size_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, Repair(*_inputs(spark)).found().collect()))
     monkeypatch.setattr(scans, "HELD", -1)
     assert sorted(map(tuple, Repair(*_inputs(spark)).found().collect())) == want
+
+
+def test_paragraphs_run_on_over_lines_and_pages(spark):
+    rows = {(r.tbl, r.doc_id, r.para): r.text for r in Repair(*_inputs(spark)).paragraphs().collect()}
+    text = " ".join(rows[k] for k in sorted(rows) if k[:2] == ("spans", 50))
+    assert text == (
+        "7 Large Things the authors describe the likelihood of the transcript and tbe recurrent encoder in 2007 while the zero-shot reference parsing of the encoder converges of the corpus 12 and the steps"
+    )
+    assert rows["bib_entries", 7, 1] == "The likelihood of the encoder, pages 20-12 end."
+    assert rows["page_lines", 90, 1].startswith("the corpus of a transcript")
