@@ -11,6 +11,7 @@ from quire.operators import layout as L
 from quire.operators import sequences as S
 from quire.operators import text_views as V
 from quire.plans.config import setting
+from quire.plans import specs
 from quire.plans.registry import Registry
 
 CHECKS = Registry()
@@ -136,3 +137,6 @@ def rnlp_summary(tables: Tables, profile: dict) -> DataFrame:
     g = h.groupBy("doc_id").agg(F.count_if(F.col("h").endswith("[Yes]")).alias("yes"), F.count_if(~F.col("h").endswith("[N/A]")).alias("all"))
     share = F.col("yes") / F.col("all")
     return g.filter("all > 0").select("doc_id", F.when(share < 0.5, "error").otherwise("warning").alias("severity"), F.format_string("%d of %d answered yes", F.col("yes"), F.col("all")).alias("message"), F.round(share, 4).alias("measured"))
+
+
+specs.register(CHECKS)

@@ -41,6 +41,41 @@ def findings_by_check(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, "cvpr", "refcheck").groupBy("check_id", "severity").agg(F.count("*").alias("n"))
 
 
+_REPLIES = """SELECT c_custkey AS doc_id, x.id AS check_id, CASE WHEN c_custkey % 11 = 0 THEN 'broken' WHEN starts_with(x.id, 'audit') THEN CASE WHEN c_custkey % 3 = 0 THEN '{{"issues": []}}' ELSE '{{"issues": [{{"severity": "low", "text": "a"}}, {{"severity": "high", "text": "b"}}]}}' END
+WHEN x.id = 'rnlp_scope' THEN CASE WHEN c_custkey % 2 = 0 THEN '{{"artifacts": true, "experiments": false, "human_subjects": false}}' ELSE '{{"artifacts": false, "experiments": true, "human_subjects": true}}' END
+ELSE concat('{{"answer": "', CASE c_custkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' WHEN 2 THEN 'partial' ELSE 'na' END, '"}}') END AS reply FROM customer, (SELECT unnest(['audit_typos_grammar', 'audit_figure_table', 'rnlp_scope', 'rnlp_a1', 'rnlp_b1', 'rnlp_c1', 'rnlp_d1']) AS id) x WHERE c_custkey % 5 <> 0"""
+
+
+def _with_replies(spark: SparkSession, d: str) -> Callable[[str], DataFrame]:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    k = F.col("doc_id")
+    ids = F.array(*[F.lit(x) for x in ("audit_typos_grammar", "audit_figure_table", "rnlp_scope", "rnlp_a1", "rnlp_b1", "rnlp_c1", "rnlp_d1")])
+    audit = F.when(k % 3 == 0, '{"issues": []}').otherwise('{"issues": [{"severity": "low", "text": "a"}, {"severity": "high", "text": "b"}]}')
+    scope = F.when(k % 2 == 0, '{"artifacts": true, "experiments": false, "human_subjects": false}').otherwise('{"artifacts": false, "experiments": true, "human_subjects": true}')
+    answer = F.concat(F.lit('{"answer": "'), F.when(k % 4 == 0, "Yes").when(k % 4 == 1, "no").when(k % 4 == 2, "partial").otherwise("na"), F.lit('"}'))
+    x = c.filter("doc_id % 5 <> 0").select("doc_id", F.explode(ids).alias("check_id"))
+    r = x.withColumn("reply", F.when(k % 11 == 0, "broken").when(F.col("check_id").startswith("audit"), audit).when(F.col("check_id") == "rnlp_scope", scope).otherwise(answer))
+    return lambda t: {"docs": c, "model_replies": r}[t]
+
+
+@add(
+    "model_checks",
+    f"""WITH r AS ({_REPLIES.format()}), d AS (SELECT c_custkey AS doc_id FROM customer),
+    a AS (SELECT d.doc_id, i.id AS check_id, r.reply FROM d CROSS JOIN (SELECT unnest(['audit_typos_grammar', 'audit_figure_table']) AS id) i LEFT JOIN r ON r.doc_id = d.doc_id AND r.check_id = i.id),
+    q AS (SELECT d.doc_id, i.id AS check_id, i.gate, r.reply, s.reply AS scope FROM d CROSS JOIN (SELECT unnest(['rnlp_a1', 'rnlp_b1', 'rnlp_c1', 'rnlp_d1']) AS id, unnest(['always', 'artifacts', 'experiments', 'human_subjects']) AS gate) i LEFT JOIN r ON r.doc_id = d.doc_id AND r.check_id = i.id LEFT JOIN r s ON s.doc_id = d.doc_id AND s.check_id = 'rnlp_scope')
+    SELECT check_id, severity, count(*) AS n FROM (SELECT check_id, CASE WHEN reply IS NULL OR reply = 'broken' THEN 'skipped' WHEN json_array_length(CAST(CASE WHEN json_valid(reply) THEN reply END AS JSON), '$.issues') = 0 THEN 'pass' ELSE 'warning' END AS severity,
+    unnest(range(CASE WHEN reply IS NULL OR reply = 'broken' THEN 1 ELSE greatest(1, CAST(json_array_length(CAST(CASE WHEN json_valid(reply) THEN reply END AS JSON), '$.issues') AS BIGINT)) END)) AS k FROM a
+    UNION ALL SELECT check_id, CASE WHEN reply IS NULL OR reply = 'broken' THEN 'skipped' WHEN regexp_matches(lower(reply), '"(yes|na)"') THEN 'pass' ELSE 'warning' END, 0 FROM q WHERE gate = 'always' OR scope IS NULL OR scope = 'broken' OR contains(scope, '"' || gate || '": true')) GROUP BY 1, 2""",
+)
+def model_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The data-defined checks over model replies, counted by check and severity."""
+    profile = {"modules": ["arr.responsible_nlp", "llm.prose", "llm.audit"]}
+    wanted = ["audit_typos_grammar", "audit_figure_table", "rnlp_a1", "rnlp_b1", "rnlp_c1", "rnlp_d1"]
+    tables = _with_replies(spark, d)
+    profile["disabled_checks"] = [c for c in CHECKS.checks if c not in wanted]
+    return CHECKS.run(spark, tables, profile, frozenset({"llm"})).groupBy("check_id", "severity").agg(F.count("*").alias("n"))
+
+
 @add("markdown_report")
 def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return store.markdown(_run(spark, d, "aistats"))

@@ -54,3 +54,9 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scattered(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` by the columns over as many partitions as the session's shuffles have:
+    for work that is heavy for its bytes, which must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
