@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.names_text import folded
-from quire.session import landed
+from quire.session import landed, scattered
 
 #: Changes (insert, delete, replace, swap) between spellings of one key.
 BOUND = 1
@@ -121,23 +121,46 @@ def _is_initials(token: str) -> bool:
     return len(token) == 1 or (len(token) == 2 and token.isupper())
 
 
+def _step(row: list[int], before: list[int], word: str, depth: int, c: str, last: str, bound: int) -> list[int]:
+    """The next row of the edit table for a letter ``c`` read at ``depth``: only the
+    ``2 bound + 1`` cells about the diagonal, so long words cost no more a letter."""
+    new: list[int] = []
+    far = bound + 1
+    for k in range(2 * bound + 1):
+        j = depth + 1 + k - bound
+        if j < 0 or j > len(word):
+            new.append(far)
+            continue
+        d = far
+        if k < 2 * bound:
+            d = row[k + 1] + 1
+        if k and new[k - 1] + 1 < d:
+            d = new[k - 1] + 1
+        if j:
+            same = row[k] + (c != word[j - 1])
+            d = min(d, same)
+            if j > 1 and before and c == word[j - 2] and last == word[j - 1]:
+                d = min(d, before[k] + 1)
+        new.append(min(d, far))
+    return new
+
+
+def _first_row(word: str, bound: int) -> list[int]:
+    return [k - bound if 0 <= k - bound <= len(word) else bound + 1 for k in range(2 * bound + 1)]
+
+
 def distance(a: str, b: str, bound: int = BOUND) -> int:
     """Edit distance with swaps of neighbours, bound + 1 where it is more."""
     if abs(len(a) - len(b)) > bound:
         return bound + 1
     before: list[int] = []
-    row = list(range(len(b) + 1))
+    row, last = _first_row(b, bound), ""
     for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            d = min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y))
-            if i and j and x == b[j - 1] and a[i - 1] == y:
-                d = min(d, before[j - 1] + 1)
-            new.append(d)
-        if min(new) > bound:
+        row, before = _step(row, before, b, i, x, last, bound), row
+        last = x
+        if min(row) > bound:
             return bound + 1
-        before, row = row, new
-    return min(row[-1], bound + 1)
+    return min(row[len(b) - len(a) + bound], bound + 1)
 
 
 class Trie:
@@ -153,23 +176,18 @@ class Trie:
 
     def near(self, word: str, bound: int = BOUND) -> Iterator[str]:
         """The words within the bound; a branch is left when its whole row is beyond it."""
-        start = list(range(len(word) + 1))
-        stack = [(self.root, start, [], "")]
+        stack = [(self.root, _first_row(word, bound), [], "", 0)]
         while stack:
-            node, row, before, last = stack.pop()
+            node, row, before, last, depth = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= bound:
+                    k = len(word) - depth + bound
+                    if 0 <= k <= 2 * bound and row[k] <= bound:
                         yield child
                     continue
-                new = [row[0] + 1]
-                for j, y in enumerate(word):
-                    d = min(row[j + 1] + 1, new[j] + 1, row[j] + (c != y))
-                    if j and before and c == word[j - 1] and last == y:
-                        d = min(d, before[j - 1] + 1)
-                    new.append(d)
+                new = _step(row, before, word, depth, c, last, bound)
                 if min(new) <= bound:
-                    stack.append((child, new, row, c))
+                    stack.append((child, new, row, c, depth + 1))
 
 
 def shards(key: str) -> list[str]:
@@ -225,7 +243,7 @@ def trie_join(keys: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["shard", "k"])
 
     wide = keys.select("k").distinct().mapInPandas(spread, "shard string, k string")
-    ready = wide.repartition("shard").sortWithinPartitions("shard")
+    ready = scattered(wide, "shard").sortWithinPartitions("shard")
     return ready.mapInPandas(stream_groups(["shard"], _shard_pairs), "a string, b string").distinct()
 
 
@@ -351,7 +369,7 @@ def entities(names: DataFrame) -> DataFrame:
     read = landed(parsed(names), "names-read")
     fam = families(read)
     joined = read.withColumn("k", F.concat("kind", F.lit(":"), "key")).join(fam, "k").drop("k")
-    ready = joined.repartition("family").sortWithinPartitions("family")
+    ready = scattered(joined, "family").sortWithinPartitions("family")
     return ready.mapInPandas(stream_groups(["family"], resolve), "name string, entity string")
 
 

@@ -50,18 +50,17 @@ RATIO, LEAST = 12, 4
 MOST = 2
 
 _BREAK = r"[-‐¬=­]"
-_END = re.compile(r"[“”\"'‘’)\]}>.,;:?!»*]+\Z")
-_START = re.compile(r"\A[“”\"'‘’\[{<„«*]+")
-_OPEN = re.compile(r"\A\(+")
+_END = "“”\"'‘’)]}>.,;:?!»*"
+_START = "“”\"'‘’[{<„«*"
 
 
 def clean(token: str) -> str:
     """A token in lower case without punctuation around (a bracket that only opens may be a misread c)."""
     if token.isalpha():
         return token.lower()
-    t = _START.sub("", _END.sub("", token))
+    t = token.rstrip(_END).lstrip(_START)
     if t[:1] == "(" and (")" in token or not t[1:2].isalpha()):
-        t = _OPEN.sub("", t)
+        t = t.lstrip("(")
     return t.lower()
 
 
@@ -185,16 +184,16 @@ def breaks(lines: DataFrame) -> DataFrame:
     """(tbl, doc_id, page, line_no, sub, mark, joined, hyphened, capital, left) of the body lines that end in a broken word."""
 
     def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = re.compile(r"(\S*[^\W\d_])([-‐¬=­])\s*\Z")
         for pdf in parts:
             rows = []
             for tbl, doc, page, line, sub, text, right in pdf.itertuples(index=False):
-                m = end.search(text)
-                if not m or not right or not (right[0].isalpha() or right[0] in "!@(|1056"):
+                shown = text.split()[-1]
+                part, mark = shown[:-1], shown[-1]
+                if not part or not part[-1].isalpha() or not right or not (right[0].isalpha() or right[0] in "!@(|1056"):
                     continue
-                left, r = _form(_OPEN.sub("", _START.sub("", m.group(1)))), _form(_END.sub("", right))
+                left, r = _form(part.lstrip(_START).lstrip("(")), _form(right.rstrip(_END))
                 if left and r:
-                    rows.append((tbl, doc, page, line, sub, m.group(2), left + r, f"{left}-{r}", right[:1].isupper() and not m.group(1).isupper(), left))
+                    rows.append((tbl, doc, page, line, sub, mark, left + r, f"{left}-{r}", right[:1].isupper() and not part.isupper(), left))
             yield pd.DataFrame(rows, columns=["tbl", "doc_id", "page", "line_no", "sub", "mark", "joined", "hyphened", "capital", "left"])
 
     at = ["tbl", "doc_id", "page", "line_no", "sub", "text"]
@@ -583,11 +582,9 @@ def _cased(right: str, shown: str) -> str:
 
 def _put(token: str, right: str) -> str:
     """A token with its word replaced, the punctuation around kept."""
-    start = _START.match(token)
-    core = _START.sub("", _END.sub("", token))
-    head = start.group() if start else ""
-    end = _END.search(token[len(head) :])
-    return head + _cased(right, core) + (end.group() if end else "")
+    bare = token.lstrip(_START)
+    core = bare.rstrip(_END)
+    return token[: len(token) - len(bare)] + _cased(right, core) + bare[len(core) :]
 
 
 def _repaired(text: str, fixes: str | None, whole: str | None, taken: bool) -> str:
@@ -600,11 +597,10 @@ def _repaired(text: str, fixes: str | None, whole: str | None, taken: bool) -> s
             if int(i) < len(shown):
                 shown[int(i)] = _put(shown[int(i)], right)
     if whole and shown:
-        head = _START.match(shown[-1])
-        shown[-1] = (head.group() if head else "") + _cased(whole, _START.sub("", shown[-1]))
+        bare = shown[-1].lstrip(_START)
+        shown[-1] = shown[-1][: len(shown[-1]) - len(bare)] + _cased(whole, bare)
     rest = shown[1:] if taken else shown
     if taken and shown:
-        tail = _END.search(shown[0])
-        mark = tail.group() if tail else ""
+        mark = shown[0][len(shown[0].rstrip(_END)) :]
         return f"\x01{mark} {' '.join(rest)}" if mark else " ".join(rest)
     return " ".join(rest)

@@ -75,3 +75,10 @@ def test_paragraphs_run_on_over_lines_and_pages(spark):
     )
     assert rows["bib_entries", 7, 1] == "The likelihood of the encoder, pages 20-12 end."
     assert rows["page_lines", 90, 1].startswith("the corpus of a transcript")
+
+
+def test_very_long_lines_and_words(spark):
+    s, p, b = _inputs(spark)
+    long = spark.createDataFrame([(60, 1, 1, 1, 60.0, 10.0, "w" * 200_000 + "-", "x"), (60, 1, 2, 1, 72.5, 10.0, "." * 200_000 + "a " + "tbe " * 20_000, "x")], SPANS)
+    got = [r for r in Repair(s.unionByName(long), p, b).found().collect() if r.doc_id == 60]
+    assert all(r.kind in ("split", "misread") for r in got)
