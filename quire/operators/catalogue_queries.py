@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,21 +10,11 @@ from quire.operators import layout as L
 from quire.operators import structure as T
 from quire.operators.layout_queries import HEADINGS, LINES, SPANS
 from quire.plans.plan_queries import FOUND, _reported
+from quire.querybook import book
 from quire.sources.projections import duck, projection
 from quire.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def add(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return wrap
+QUERIES, ORACLE, add = book()
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:

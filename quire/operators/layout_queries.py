@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import layout as L
+from quire.querybook import book
 from quire.sources.projections import duck, projection
 from quire.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES, ORACLE, add = book()
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -23,16 +21,6 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return projection(spark, d, "placed_spans")
 
 
-def add(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return wrap
-
-
 # One delivery of each span, and the lines they make, in DuckDB.
 SPANS = "(SELECT DISTINCT ON (doc_id, page, line_no, span_no) * FROM spans)"
 _SEEN = "NOT (render_mode IN (3, 7) OR coalesce(opacity, 1.0) <= 0.01)"

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import columns as C
 from quire.operators import sequences as S
 from quire.operators import text_views as V
+from quire.querybook import book
 from quire.sources.projections import duck, projection
 from quire.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def add(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return wrap
+QUERIES, ORACLE, add = book()
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:

@@ -10,20 +10,10 @@ from pyspark.sql import functions as F
 from quire.plans import config, registry, store
 from quire.plans.checks import CHECKS
 from quire.plans.profiles import PROFILES
+from quire.querybook import book
 from quire.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def add(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return wrap
+QUERIES, ORACLE, add = book()
 
 
 def _run(spark: SparkSession, d: str, venue: str, *flags: str) -> DataFrame:

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.querybook import book
 from quire.sources import bibliographic as B
 from quire.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES, ORACLE, add = book()
 _CLEAN = "regexp_replace(title, '[{}\"]', '', 'g')"
 _WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
-def add(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return wrap
-
-
 def _papers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").withColumn("title", F.regexp_replace("title", r'[{}"]', "")).withColumn("names", F.from_json("authors", "array<string>"))
 

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.querybook import book
 from quire.sources.tables import table
 from quire.streaming import events as E
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def add(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return wrap
+QUERIES, ORACLE, add = book()
 
 
 _BATCHES = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
