@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import columns as C
+from quire.session import landed
 
 # Title and author thresholds of a judgement, years of slack.
 ACCEPT, REVIEW, AUTHOR, ALONE, SLACK = 0.90, 0.72, 0.34, 0.95, 2
-#: Letters of the compact title that a citation and a record must share to be compared.
-BLOCK = 24
+#: Word similarity from which titles are compared; letters of a start that is enough besides.
+WORDS, BLOCK = 0.5, 24
 
 
 def dedupe_groups(bib: DataFrame) -> DataFrame:
@@ -29,12 +30,60 @@ def dedupe_groups(bib: DataFrame) -> DataFrame:
     return bib.groupBy(k.alias("key")).agg(F.count("*").alias("n"), F.min("entry_id").alias("first"))
 
 
+def _word_pairs(e: DataFrame, r: DataFrame) -> DataFrame:
+    """(e_t, r_t) of all titles whose word similarity is at least WORDS, none left out: c common words of
+    titles of l <= m words score c / 2 (1 / (l + m - c) + 1 / l), so that c >= (2 - sqrt(2)) l, and one of the
+    l - c + 1 rarest words of the shorter title is common. A pair is kept at its rarest common word alone."""
+    n = e.select(F.explode("w").alias("x")).unionAll(r.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        x = df.select("t", F.explode("w").alias("x")).join(n, "x").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("w"))
+        return landed(x.select("t", F.col("w.x").alias("w"), F.size("w").alias("l")), "title-words")
+
+    def met(short: DataFrame, long: DataFrame, more: int) -> DataFrame:
+        s = short.select(F.col("t").alias("s_t"), F.col("w").alias("s_w"), F.col("l").alias("s_l"), F.posexplode(F.slice("w", F.lit(1), F.col("l") - F.ceil(0.5857 * F.col("l")).cast("int") + 1)).alias("s_i", "x"))
+        g = long.select(F.col("t").alias("g_t"), F.col("w").alias("g_w"), F.col("l").alias("g_l"), F.posexplode("w").alias("g_i", "x"))
+        score = lambda c: 0.5 * c / (F.col("s_l") + F.col("g_l") - c) + 0.5 * c / F.col("s_l")
+        most, common = F.least(F.col("s_l") - F.col("s_i"), F.col("g_l") - F.col("g_i")), F.array_intersect("s_w", "g_w")
+        return s.join(g, "x").filter((F.col("s_l") + more <= F.col("g_l")) & (score(most) >= WORDS - 1e-9)).filter((common[0] == F.col("x")) & (score(F.size(common)) >= WORDS - 1e-9))
+
+    e, r = ranked(e), ranked(r)
+    return met(e, r, 0).select(F.col("s_t").alias("e_t"), F.col("g_t").alias("r_t")).unionAll(met(r, e, 1).select(F.col("g_t").alias("e_t"), F.col("s_t").alias("r_t")))
+
+
+def _change_pairs(e: DataFrame, r: DataFrame) -> DataFrame:
+    """(e_t, r_t) of all titles whose compact forms are equal or one letter apart: one change
+    leaves the first or the last half of the shorter form as it is."""
+
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        size = F.length("k")
+        x = df.select(F.col("t").alias(f"{side}_t"), F.col("k").alias(f"{side}_k"), "k", F.explode(F.array(size, size - 1)).alias("n")).withColumn("h", F.floor(F.col("n") / 2).cast("int"))
+        half = F.array(F.struct(F.lit(0).alias("end"), F.expr("left(k, h)").alias("part")), F.struct(F.lit(1).alias("end"), F.expr("right(k, n - h)").alias("part")))
+        return x.select(f"{side}_t", f"{side}_k", "n", F.explode(half).alias("at")).select(f"{side}_t", f"{side}_k", "n", "at.*")
+
+    return keys(e, "e").join(keys(r, "r"), ["n", "end", "part"]).filter(F.levenshtein("e_k", "r_k", 1) >= 0).select("e_t", "r_t")
+
+
 def candidate_pairs(bib: DataFrame, records: DataFrame) -> DataFrame:
-    """Entries and records whose compact titles start alike (an equal join on the start)."""
-    e = bib.filter("title IS NOT NULL").select("entry_id", F.col("title").alias("e_title"), F.col("authors").alias("e_authors"), F.col("year").alias("e_year"), C.compact_title(F.col("title")).alias("k"))
-    r = records.filter("title IS NOT NULL").select("record_id", F.col("title").alias("r_title"), F.col("authors").alias("r_authors"), F.col("year").alias("r_year"), F.substring(C.compact_title(F.col("title")), 1, BLOCK).alias("b"))
-    e = e.filter(F.length("k") >= BLOCK).withColumn("b", F.substring("k", 1, BLOCK)).drop("k")
-    return e.join(r, "b").drop("b")
+    """Entries and records to compare: word similarity of the titles of at least WORDS, compact titles at most
+    one change apart or of one long start, or one DOI. Word similarity is 0 for titles without Latin letters
+    or digits: these meet by DOI alone. Titles are matched once however many rows have them."""
+    whole = lambda df, key, doi: landed(df.filter("title IS NOT NULL").select(key, "title", "authors", "year", C.normalised_title(F.col("title")).alias("t"), doi.alias("dois")), key)
+    e = whole(bib, "entry_id", F.array(C.normalised_doi(F.col("doi"))))
+    r = whole(records, "record_id", F.array(C.normalised_doi(F.col("doi")), C.normalised_doi(F.col("published_doi"))))
+
+    def titles(df: DataFrame) -> DataFrame:
+        words = F.array_distinct(F.filter(F.split(C.title_key(F.col("t")), " "), lambda w: w != ""))
+        return df.filter("t <> ''").select("t").distinct().select("t", words.alias("w"), F.regexp_replace("t", " ", "").alias("k"))
+
+    et, rt = titles(e), titles(r)
+    start = lambda df, side: df.filter(F.length("k") >= BLOCK).select(F.col("t").alias(f"{side}_t"), F.substring("k", 1, BLOCK).alias("b"))
+    pairs = _word_pairs(et, rt).unionAll(_change_pairs(et, rt)).unionAll(start(et, "e").join(start(rt, "r"), "b").select("e_t", "r_t")).distinct()
+    by_title = pairs.join(e.select("entry_id", F.col("t").alias("e_t")), "e_t").join(r.select("record_id", F.col("t").alias("r_t")), "r_t").select("entry_id", "record_id")
+    by_doi = e.select("entry_id", F.explode("dois").alias("doi")).join(r.select("record_id", F.explode("dois").alias("doi")), "doi").select("entry_id", "record_id")
+    ids = by_title.unionAll(by_doi).distinct()
+    named = lambda df, key, side: df.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("title", "authors", "year")])
+    return ids.join(named(e, "entry_id", "e"), "entry_id").join(named(r, "record_id", "r"), "record_id")
 
 
 def scored_candidates(bib: DataFrame, records: DataFrame) -> DataFrame:

@@ -117,3 +117,25 @@ def test_unresolved_citations_equal_theta_anti_join(spark):
         if not any(b[0] == d and f" {name}," in b[2].lower() and year in b[2] for b in bib):
             want.add((d, name, year))
     assert got == want
+
+
+def test_candidates_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["parsing", "deep", "of", "graphs", "speech", "neural", "the", "models", "long", "tagging", "data", "base", "database", "x"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))
+
+    def typo(t):
+        i = rng.randrange(len(t))
+        return t[:i] + rng.choice(["", "q", t[i] + "z"]) + t[i + 1 :]
+
+    cited = [title() for _ in range(60)]
+    entries = [(f"e{i}", t, ["Doe"], 2010, None) for i, t in enumerate(cited)] + [("doi", "Вопрос", None, None, "10.1/A"), ("none", None, None, None, "10.1/A")]
+    records = [(f"r{i}", typo(t) if i % 2 else t, ["Doe"], 2010, None, None) for i, t in enumerate(cited)] + [(f"s{i}", title(), None, None, None, None) for i in range(40)] + [("doi", "Другой", None, None, None, "https://doi.org/10.1/a")]
+    e = spark.createDataFrame(entries, "entry_id string, title string, authors array<string>, year int, doi string")
+    r = spark.createDataFrame(records, "record_id string, title string, authors array<string>, year int, doi string, published_doi string")
+    got = {(x.entry_id, x.record_id) for x in R.candidate_pairs(e, r).collect()}
+    a, b = (df.filter("title IS NOT NULL").select(k, F.col("title").alias(n), C.compact_title(F.col("title")).alias(f"{n}_k")) for df, k, n in ((e, "entry_id", "a"), (r, "record_id", "b")))
+    near = (C.token_similarity(F.col("a"), F.col("b")) >= 0.5) | ((F.col("a_k") != "") & (F.col("b_k") != "") & (F.levenshtein("a_k", "b_k") <= 1)) | ((F.length("a_k") >= 24) & (F.substring("a_k", 1, 24) == F.substring("b_k", 1, 24)))
+    want = {(x.entry_id, x.record_id) for x in a.crossJoin(b).filter(near).collect()}
+    assert got == want | {("doi", "doi")}
+    assert all((f"e{i}", f"r{i}") in got for i in range(60))
