@@ -139,3 +139,14 @@ def test_candidates_equal_brute_force(spark):
     want = {(x.entry_id, x.record_id) for x in a.crossJoin(b).filter(near).collect()}
     assert got == want | {("doi", "doi")}
     assert all((f"e{i}", f"r{i}") in got for i in range(60))
+
+
+def test_glyph_run_fallback_takes_all_pages(spark, tmp_path):
+    from quire.operators.structure_queries import QUERIES
+
+    spans = [(1, 1, 0), (1, 3, 0), (1, 3, 0), (1, 4, 3), (2, 9, 0)]
+    lines = [(1, 1), (1, 3), (1, 4), (1, 4), (1, 5), (3, 7)]
+    spark.createDataFrame(spans, "doc_id long, page int, render_mode int").write.parquet(f"{tmp_path}/spans.parquet")
+    spark.createDataFrame(lines, "doc_id long, page int").write.parquet(f"{tmp_path}/page_lines.parquet")
+    got = {tuple(r) for r in QUERIES["glyph_run_fallback"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1), (1, 3, 2), (1, 4, 2), (1, 5, 1), (2, 9, 1), (3, 7, 1)}
