@@ -26,7 +26,7 @@ PROJECTIONS: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(60 + l_suppkey % 200 AS DOUBLE) AS x0, CAST(50 + l_partkey % 300 AS DOUBLE) AS y0,
         CAST(60 + l_suppkey % 200 + 180 AS DOUBLE) AS x1, CAST(50 + l_partkey % 300 + 160 AS DOUBLE) AS y1,
         CAST((l_suppkey % 10) / 10.0 AS DOUBLE) AS r, CAST((l_partkey % 10) / 10.0 AS DOUBLE) AS g, CAST((l_orderkey % 10) / 10.0 AS DOUBLE) AS b
-        FROM lineitem WHERE l_linenumber <= 2""",
+        FROM lineitem""",
     ),
     "stats_text": (
         ("lineitem",),

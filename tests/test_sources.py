@@ -46,3 +46,10 @@ def test_html_meta_and_liveness(spark):
     assert (r.title, r.authors, r.year) == ("A < B", ["X", "Y"], 2011)
     df = spark.createDataFrame([(200, True), (403, True), (404, True), (500, True), (200, False)], "s int, a boolean")
     assert [x[0] for x in df.select(B.liveness(F.col("s"), F.col("a"))).collect()] == ["ok", "blocked", "dead", "unknown", "unknown"]
+
+
+def test_every_line_item_is_a_box(spark, tmp_path):
+    from quire.sources.projections import projection
+
+    spark.range(1, 8).selectExpr("1L AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "CAST(id AS INT) AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.box_no for r in projection(spark, str(tmp_path), "boxes").collect()) == [i * 10001 for i in range(1, 8)]
