@@ -279,17 +279,26 @@ def parsed(names: DataFrame) -> DataFrame:
 
 
 def families(read: DataFrame) -> DataFrame:
-    """(kind, key, family): the key each spelling follows, its most frequent neighbour or itself (three steps at most)."""
+    """(kind, key, family): the key each spelling follows, by its most frequent neighbour and that one's and
+    so on, or itself. A surname of under five letters and its neighbour are linked only if a full given name
+    stands beside both; short organisations, and short surnames with initials alone, are not."""
     counts = landed(read.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.concat("kind", F.lit(":"), "key").alias("k"), "n"), "keys")
-    near = trie_join(counts.filter(F.length("k") >= 7))
+    near = landed(trie_join(counts), "near")
+    given = read.filter("kind = 'p' AND length(first) > 1").select(F.concat(F.lit("p:"), "key").alias("k"), "first").distinct()
+    short = (F.length("a") < 7) | (F.length("b") < 7)
+    agreed = near.filter(short).join(given.withColumnRenamed("k", "a"), "a").join(given.withColumnRenamed("k", "b"), ["b", "first"]).select("a", "b").distinct()
+    near = near.filter(~short).unionByName(agreed)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own, other = counts.select(F.col("k").alias("a"), F.col("n").alias("na")), counts.select(F.col("k").alias("b"), F.col("n").alias("nb"))
     up = both.join(own, "a").join(other, "b").filter("nb > na OR (nb = na AND b < a)")
-    best = landed(up.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b")), "spellings")
-    family = counts.select("k", F.col("k").alias("family"))
-    for _ in range(3):
-        family = family.join(best.select(F.col("a").alias("family"), F.col("b").alias("next")), "family", "left").select("k", F.coalesce("next", "family").alias("family"))
-    return family
+    best = up.groupBy("a").agg(F.max_by("b", F.struct("nb", "b")).alias("b"))
+    family = landed(counts.join(best.withColumnRenamed("a", "k"), "k", "left").select("k", F.coalesce("b", "k").alias("family")), "spellings")
+    # each step doubles the part of a chain that is followed; chains end, for each link leads to a greater key
+    while True:
+        step = landed(family.join(family.select(F.col("k").alias("family"), F.col("family").alias("next")), "family").select("k", F.col("next").alias("family"), (F.col("next") != F.col("family")).alias("moved")), "families")
+        family = step.select("k", "family")
+        if step.filter("moved").isEmpty():
+            return family
 
 
 def resolve(pdf: pd.DataFrame) -> pd.DataFrame:

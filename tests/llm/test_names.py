@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.names import Trie, distance, entities, is_name, listed, pairs, parse, shards, trie_join
+from quire.llm.names import Trie, distance, entities, families, is_name, listed, pairs, parse, shards, trie_join
 
 
 def _plain(a, b):
@@ -77,3 +77,11 @@ def test_very_long_names(spark):
     name = "Jane " + "abcdefgh" * 12_000
     df = spark.createDataFrame([([name, name[:-1] + "x", "Jane Doe"],)], "authors array<string>")
     assert {tuple(r) for r in pairs(listed(df, "authors")).collect()} == {tuple(sorted((name, name[:-1] + "x")))}
+
+
+def test_chains_are_followed_to_their_end_and_short_surnames_by_given_name(spark):
+    chain = ["ravedors", "xavedors", "xyvedors", "xyzedors", "xyzqdors", "xyzqwors", "xyzqwvrs"]
+    rows = [("p", k, "jane", 10 - i) for i, k in enumerate(chain)] + [("p", "wang", "wei", 9), ("p", "wagn", "wei", 1), ("p", "yang", "li", 2), ("p", "wamg", "w", 1), ("o", "wan", "", 1)]
+    got = {r.k: r.family for r in families(spark.createDataFrame(rows, "kind string, key string, first string, n long")).collect()}
+    assert {got[f"p:{k}"] for k in chain} == {"p:ravedors"}
+    assert (got["p:wagn"], got["p:yang"], got["p:wamg"], got["o:wan"]) == ("p:wang", "p:yang", "p:wamg", "o:wan")
