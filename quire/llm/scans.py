@@ -327,6 +327,8 @@ def explained(read: str, right: str, most: int = MOST) -> int | None:
 def corrections(lex: DataFrame, more: DataFrame) -> DataFrame:
     """(word, right, cost, n_right): candidate right words of rare or odd words.
 
+    Words and right words have 4 to 60 letters: shorter ("f0r") and longer ones are left as they are.
+
     ``more``: further words (column ``word``) to put right, such as joined ones."""
     asked = lex.select("word", "n").unionByName(more.select("word", F.lit(0).cast("long").alias("n"))).groupBy("word").agg(F.max("n").alias("n"))
     asked = asked.filter((F.length("word") >= 4) & (F.length("word") <= 60) & F.col("word").rlike(r"\p{L}"))
