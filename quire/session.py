@@ -27,9 +27,12 @@ def build_session(cpus: int = 8, app: str = "quire", memory: str = "12g") -> Spa
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the
-    session, or, where it is unset (local tests), a temporary folder of ours."""
+    session, or, where it is unset in a local session (tests), a temporary folder
+    of ours.  On a cluster there is no folder to guess: it must be set."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,7 +55,7 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage
     cut whose reader still prunes columns and pushes filters."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
