@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from quire.llm.copies import Trie, buckets, canonical_publication, canonical_rows, canonical_text, collapsed, pairs, same_words
 
 RAW = [
@@ -66,6 +68,28 @@ def test_trie_counts():
 
 
 def test_buckets_fit(spark):
-    groups = spark.range(2000).selectExpr("'t' AS tbl", "md5(cast(id AS string)) AS canon")
-    n = [r["count"] for r in buckets(groups, 50).groupBy("bucket").count().collect()]
-    assert sum(n) == 2000 and max(n) <= 50
+    rows = spark.range(2000).selectExpr("'t' AS tbl", "cast(id AS string) AS key", "concat('same', md5(cast(id AS string))) AS canon")
+    whole, split = buckets(rows, 50, 1)
+    n = [r["count"] for r in whole.groupBy("bucket").count().collect()]
+    assert sum(n) == 2000 and max(n) <= 50 and split is None
+    # equal bytes are split by keys
+    hot = rows.withColumn("canon", F.when(F.col("key").cast("int") % 2 == 0, F.lit("hot")).otherwise(F.col("canon")))
+    whole, split = buckets(hot, 300, 2, 8)
+    n = [r["count"] for r in split.groupBy("bucket").count().collect()]
+    assert whole.count() + sum(n) == 2000 and len(n) >= 4
+
+
+def test_counts_of_split_buckets(spark):
+    """A hot set above the limit, in two word forms, gives the same counts as in one bucket."""
+    rows = [(f"k{i:04d}", ("Jane Doe. A Title.", "A title. Doe, Jane", f"Other {i}")[i % 3]) for i in range(900)] + [("k0000", "Jane Doe. A Title.")]
+    df = canonical_rows(_df(spark, rows), "bib_entries", "entry_id", ["raw"], canonical_text)
+    want = {tuple(r) for r in collapsed(df).collect()}
+    assert {tuple(r) for r in collapsed(df, limit=50).collect()} == want and ("bib_entries", "k0000", 600) in want
+    assert {tuple(r) for r in pairs(df, limit=50).collect()} == {tuple(r) for r in pairs(df).collect()}
+
+
+def test_names_joined_or_split():
+    a = canonical_publication("t", '["Nathaniel Drot-Hudansen", "O\'Brien, J.B."]', None, None, None, None, None)
+    b = canonical_publication("T", '["Drot Hudansen, Nathaniel", "JB OBrien"]', None, None, None, None, None)
+    c = canonical_publication("T", '["Drot Hudnasen, Nathaniel", "JB OBrien"]', None, None, None, None, None)
+    assert a[0] == b[0] == c[0] and same_words(a[1], b[1]) and not same_words(a[1], c[1])
