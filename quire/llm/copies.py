@@ -83,7 +83,7 @@ def canonical_publication(title, authors, year, venue, pages, doi, url) -> tuple
     parts.append(None if names is None else ";".join("".join(sorted("".join(n))) for n in names))
     if not any(parts):
         return "", ""
-    return "\x1f".join("\x00" if p is None else p for p in parts), " ".join(w for n in names or [] for w in sorted(n))
+    return "\x1f".join("\x00" if p is None else p for p in parts), " ".join(w for n in names or [] for w in n)
 
 
 def same_words(a: str, b: str) -> bool:
