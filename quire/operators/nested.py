@@ -1,9 +1,8 @@
 """Deeply nested JSON records as related flat tables (structural variants).
 
-Every node of a record is classified by a bottom-up tree automaton.  Its
-alphabet is the JSON kind of a node (object, array, null, scalar); its states
-are the *shapes* below.  A level's value moves the automaton to a list of
-object nodes with their positions:
+Every node of a record is classified by a bottom-up tree automaton, before any row
+is made.  Its alphabet is the JSON kind of a node (object, array, null, scalar); a
+level's value moves it to a list of object nodes with their positions:
 
 =============  =====================================================
 value          objects (position)
@@ -15,10 +14,12 @@ bare object    itself, position 0
 scalar         none
 =============  =====================================================
 
-and the state of an object is ``leaf`` when its child level holds no object,
-else ``branch``.  Each (level, state, optional fields present) is a structural
-variant with a typed subtype table; the supertype table of a level holds the
-keys and parent links all its variants share.
+and the state of an object follows from the states below it: ``leaf`` when its child
+level moved to no object, else ``branch``.  One explode of the classified tree routes
+every object to the table of its level, the supertype, which holds the keys and
+parent links that all variants share; each (level, state, optional fields present)
+is a structural variant with a typed subtype table.  Members that no level declares
+are kept (``others``, their JSON by name).
 
 A record whose text is null, empty or cut off (not one whole JSON value) gives
 no rows.  Repeated rows of a record give each object once.
@@ -45,13 +46,13 @@ class Level:
 
 @dataclass(frozen=True)
 class Shape:
-    """A three-level record shape. ``roots`` are the JSON paths at which the
+    """A record shape of any number of levels. ``roots`` are the JSON paths at which the
     first level may stand, the first one present and not null is taken."""
 
     table: str
     parent: str
     roots: tuple[str, ...]
-    levels: tuple[Level, Level, Level]
+    levels: tuple[Level, ...]
 
 
 RUNS = Shape(
@@ -76,89 +77,123 @@ VERDICTS = Shape(
 )
 
 
-_MAP = "try_variant_get({}, '$', 'map<string,variant>')"
-_LIST = "try_variant_get(__v, '$', 'array<variant>')"
+def _members(v: Column) -> Column:
+    """The members of an object; null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
-#: The automaton's list step: array<struct<pos, v>> of the object nodes of a level's value ``__v``.
-_OBJECTS = f"""CASE
-    WHEN {_LIST} IS NOT NULL THEN
-        filter(transform({_LIST}, (e, i) -> named_struct('pos', i, 'v', e)), x -> {_MAP.format("x.v")} IS NOT NULL)
-    WHEN {_MAP.format("__v")} IS NOT NULL THEN array(named_struct('pos', 0, 'v', __v))
-END"""
 
+def _object_list(value: Column) -> Column:
+    """The automaton's list step: array<struct<pos, v>> of the object nodes of a level's value."""
+    items = F.try_variant_get(value, "$", "array<variant>")
+    placed = F.transform(items, lambda e, i: F.struct(i.cast("int").alias("pos"), e.alias("v")))
+    bare = F.array(F.struct(F.lit(0).alias("pos"), value.alias("v")))
+    return F.when(items.isNotNull(), F.filter(placed, lambda x: _members(x["v"]).isNotNull())).when(_members(value).isNotNull(), bare)
 
-def _step(df: DataFrame, source: Column, pos: str, node: str) -> DataFrame:
-    """Explode one level; objects-free values keep one row with position -1."""
-    return (
-        df.withColumn("__v", source)
-        .withColumn("__x", F.explode_outer(F.expr(_OBJECTS)))
-        .withColumn(pos, F.coalesce(F.col("__x.pos"), F.lit(-1)))
-        .withColumn(node, F.col("__x.v"))
-        .drop("__v", "__x")
-    )
 
+def _text(v: Column, field: str) -> Column:
+    return F.try_variant_get(v, f"$.{field}", "string")
+
+
+def _classified(value: Column, shape: Shape, k: int, above: Column | None, labels: Column | None) -> Column:
+    """The objects of level ``k`` in ``value`` and all below, states from the bottom up, as one list of
+    struct(level, pos, labels, v, state): pos and labels are those of the path."""
+    level = shape.levels[k]
+
+    def node(x: Column) -> Column:
+        label = _text(x["v"], level.label) if level.label else F.lit(None).cast("string")
+        pos = F.array(x["pos"]) if above is None else F.concat(above, F.array(x["pos"]))
+        path = F.array(label) if labels is None else F.concat(labels, F.array(label))
+
+        def own(state: Column) -> Column:
+            return F.struct(F.lit(k + 1).alias("level"), pos.alias("pos"), path.alias("labels"), x["v"].alias("v"), state.alias("state"))
+
+        if k + 1 == len(shape.levels):
+            return F.array(own(F.lit("leaf")))
+        member = F.try_variant_get(x["v"], f"$.{shape.levels[k + 1].member}", "variant")
+        below = _classified(member, shape, k + 1, pos, path)
+        # a list of one binds what is below to a name, so that it is worked out once
+        bound = F.transform(F.array(below), lambda b: F.when(F.size(b) > 0, F.concat(F.array(own(F.lit("branch"))), b)).otherwise(F.array(own(F.lit("leaf")))))
+        return bound[0]
+
+    return F.flatten(F.transform(_object_list(value), node))
 
-def nodes(df: DataFrame, shape: Shape, text: str) -> DataFrame:
-    """One row per root-to-leaf path: parent, pos_1..3, node_1..3 (variants).
 
-    Paths of records without any object have pos_1 = -1."""
+def parsed(df: DataFrame, shape: Shape, text: str) -> DataFrame:
+    """(parent, j): the whole JSON values of the distinct records."""
     base = df.select(F.col(shape.parent).alias("parent"), F.col(text).alias("__text")).distinct()
-    base = base.withColumn("__j", F.try_parse_json("__text")).filter(F.col("__j").isNotNull()).drop("__text")
-    at = [F.expr(f"try_variant_get(__j, '{p}', 'variant')") for p in shape.roots]
+    return base.select("parent", F.try_parse_json("__text").alias("j")).filter(F.col("j").isNotNull())
+
+
+def objects(df: DataFrame, shape: Shape, text: str) -> DataFrame:
+    """(parent, level, pos, labels, v, state), one row per object of any level: the supertype of all."""
+    at = [F.expr(f"try_variant_get(j, '{p}', 'variant')") for p in shape.roots]
     root = F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in at])
-    out = _step(base, root, "pos_1", "node_1").drop("__j")
-    for k in (1, 2):
-        member = shape.levels[k].member
-        out = _step(out, F.expr(f"try_variant_get(node_{k}, '$.{member}', 'variant')"), f"pos_{k + 1}", f"node_{k + 1}")
-    return out
+    rooted = parsed(df, shape, text).select("parent", root.alias("root"))
+    return rooted.select("parent", F.explode(_classified(F.col("root"), shape, 0, None, None)).alias("o")).select("parent", "o.*")
 
 
 def leaf_rows(df: DataFrame, shape: Shape, text: str, leaf: str = "deepest") -> DataFrame:
-    """(tbl, parent, pos_1, pos_2, pos_3, leaf), one row per object without
+    """(tbl, parent, pos_1, pos_2, pos_3, leaf), one row per object in the state ``leaf``: without
     objects below it.  ``leaf``: ``deepest`` names a path by its second level
     where there is one, else its first; ``first`` always by its first."""
-    n = nodes(df, shape, text).filter("pos_1 >= 0")
-    first = F.expr(f"try_variant_get(node_1, '$.{shape.levels[0].label}', 'string')")
-    second = F.expr(f"try_variant_get(node_2, '$.{shape.levels[1].label}', 'string')")
-    name = first if leaf == "first" else F.when(F.col("pos_2") >= 0, second).otherwise(first)
-    return n.select(F.lit(shape.table).alias("tbl"), "parent", "pos_1", "pos_2", "pos_3", name.alias("leaf")).distinct()
-
-
-def _get(level: int, field: str, kind: str) -> Column:
-    return F.expr(f"try_variant_get(node_{level}, '$.{field}', '{kind}')")
+    o = objects(df, shape, text).filter("state = 'leaf'")
+    pos = [F.coalesce(F.get("pos", F.lit(k)), F.lit(-1)).alias(f"pos_{k + 1}") for k in range(3)]
+    first, second = F.get("labels", F.lit(0)), F.get("labels", F.lit(1))
+    name = first if leaf == "first" else F.when(F.col("level") >= 2, second).otherwise(first)
+    return o.select(F.lit(shape.table).alias("tbl"), "parent", *pos, name.alias("leaf")).distinct()
 
 
 def level_table(df: DataFrame, shape: Shape, text: str, level: int) -> DataFrame:
-    """The flat supertype table of a level (1..3): key, parent link, label, all
-    optional fields (null where a variant lacks them), ``state`` and ``variant``.
+    """The flat supertype table of a level (from 1): key, parent link, label, all
+    optional fields (null where a variant lacks them), ``state``, ``variant``, and
+    ``others``, the JSON of undeclared members by name.
 
-    ``key`` is parent/pos_1[/pos_2[/pos_3]], ``parent_key`` the key one level up."""
-    n = nodes(df, shape, text).filter(F.col(f"pos_{level}") >= 0)
-    path = [F.col("parent").cast("string"), *[F.col(f"pos_{k}").cast("string") for k in range(1, level + 1)]]
+    ``key`` is parent/pos_1[/pos_2[/...]], ``parent_key`` the key one level up."""
+    o = objects(df, shape, text).filter(F.col("level") == level)
     spec = shape.levels[level - 1]
-    state = F.lit("leaf") if level == 3 else F.when(F.col(f"pos_{level + 1}") >= 0, "branch").otherwise("leaf")
-    fields = [_get(level, f, t).alias(f) for f, t in spec.fields]
-    label = [_get(level, spec.label, "string").alias(spec.label)] if spec.label else []
-    present = F.concat_ws("+", *[F.when(_get(level, f, t).isNotNull(), F.lit(f)) for f, t in spec.fields])
-    out = n.select(
+    declared = [f for f, _ in spec.fields] + ([spec.label] if spec.label else []) + ([shape.levels[level].member] if level < len(shape.levels) else [])
+    path = F.concat(F.array(F.col("parent").cast("string")), F.transform("pos", lambda x: x.cast("string")))
+    get = lambda f, t: F.try_variant_get("v", f"$.{f}", t)
+    label = [_text(F.col("v"), spec.label).alias(spec.label)] if spec.label else []
+    present = F.concat_ws("+", *[F.when(get(f, t).isNotNull(), F.lit(f)) for f, t in spec.fields])
+    others = F.transform_values(F.map_filter(_members(F.col("v")), lambda k, _: ~k.isin(*declared)), lambda _, v: F.to_json(v))
+    out = o.select(
         "parent",
-        F.concat_ws("/", *path).alias("key"),
-        F.concat_ws("/", *path[:-1]).alias("parent_key"),
-        *[F.col(f"pos_{k}") for k in range(1, level + 1)],
+        F.array_join(path, "/").alias("key"),
+        F.array_join(F.slice(path, 1, level), "/").alias("parent_key"),
+        *[F.get("pos", F.lit(k)).alias(f"pos_{k + 1}") for k in range(level)],
         *label,
-        *fields,
-        state.alias("state"),
-        present.alias("__present"),
+        *[get(f, t).alias(f) for f, t in spec.fields],
+        "state",
+        F.concat_ws(":", F.lit(spec.name), "state", F.when(present != "", present)).alias("variant"),
+        others.alias("others"),
     )
-    out = out.withColumn("variant", F.concat_ws(":", F.lit(spec.name), "state", F.when(F.col("__present") != "", F.col("__present")))).drop("__present")
     return out.dropDuplicates(["key"])
 
 
+def record_table(df: DataFrame, shape: Shape, text: str) -> DataFrame:
+    """(parent, root, others): each record that is an object, the path at which its first level stands, and the
+    names of its members beside that, in order."""
+    at = [(p, F.expr(f"try_variant_get(j, '{p}', 'variant')")) for p in shape.roots]
+    root = F.coalesce(*[F.when(v.isNotNull() & ~F.is_variant_null(v), F.lit(p)) for p, v in at])
+    tops = {p.removeprefix("$").lstrip(".").partition(".")[0] for p in shape.roots}
+    members = _members(F.col("j"))
+    names = F.filter(F.array_sort(F.map_keys(members)), lambda k: ~k.isin(*tops))
+    return parsed(df, shape, text).filter(members.isNotNull()).select("parent", root.alias("root"), F.array_join(names, ",").alias("others")).distinct()
+
+
 def subtype(table: DataFrame, variant: str) -> DataFrame:
     """The typed subtype table of one variant: the shared keys plus only the
     fields that the variant has."""
-    kind, _, rest = variant.partition(":")
-    del kind
-    has = set(rest.partition(":")[2].split("+")) if ":" in rest else set()
-    shared = {"parent", "key", "parent_key", "pos_1", "pos_2", "pos_3", "name", "id", "field", "source", "kind"}
-    return table.filter(F.col("variant") == variant).select(*[c for c in table.columns if c in shared or c in has])
+    has = set(variant.split(":")[2].split("+")) if variant.count(":") == 2 else set()
+    shared = {"parent", "key", "parent_key", "name", "id", "field", "source", "kind", "others"}
+    return table.filter(F.col("variant") == variant).select(*[c for c in table.columns if c in shared or c.startswith("pos_") or c in has])
+
+
+def variants(df: DataFrame, shape: Shape, text: str) -> DataFrame:
+    """(tbl, variant, n): how many objects each structural variant has."""
+    tables = [level_table(df, shape, text, k + 1).select("variant") for k in range(len(shape.levels))]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy(F.lit(shape.table).alias("tbl"), "variant").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators.nested import RUNS, VERDICTS, Shape, leaf_rows, level_table
+from quire.operators.nested import RUNS, VERDICTS, Shape, leaf_rows, level_table, record_table, subtype, variants
 from quire.sources.tables import table
 
 
@@ -19,12 +19,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _level(shape: Shape, text: str, level: int) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = level_table(table(spark, sf_dir, shape.table), shape, text, level)
-        return out.drop("box") if "box" in out.columns else out
+        return out.drop("box", "others")
 
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found} | {
+def p3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects each structural variant has."""
+    runs = variants(table(spark, sf_dir, "cached_runs"), RUNS, "counts")
+    return runs.unionByName(variants(table(spark, sf_dir, "verdicts"), VERDICTS, "discrepancies"))
+
+
+def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cached runs themselves: where their modules stand, and which members stand beside."""
+    return record_table(table(spark, sf_dir, "cached_runs"), RUNS, "counts")
+
+
+def p3_severe_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtype table of checks with a severity, a number and evidence below."""
+    checks = level_table(table(spark, sf_dir, "cached_runs"), RUNS, "counts", 2)
+    return subtype(checks, "checks:branch:severity+n").drop("others")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_variants": p3_variants, "p3_runs": p3_runs, "p3_severe_checks": p3_severe_checks} | {
     f"p3_{shape.levels[k - 1].name}": _level(shape, text, k)
     for shape, text in ((RUNS, "counts"), (VERDICTS, "discrepancies"))
     for k in (1, 2, 3)
@@ -87,3 +104,15 @@ ORACLE: dict[str, str] = {
     for shape, text in ((RUNS, "counts"), (VERDICTS, "discrepancies"))
     for k in (1, 2, 3)
 }
+
+_SHAPES = ((RUNS, "counts"), (VERDICTS, "discrepancies"))
+ORACLE["p3_variants"] = " UNION ALL ".join(
+    f"SELECT '{shape.table}' AS tbl, variant, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT variant FROM ({_level_sql(shape, text, k)})' for k in (1, 2, 3))}) GROUP BY ALL" for shape, text in _SHAPES
+)
+ORACLE["p3_runs"] = (
+    "SELECT DISTINCT parent, CASE WHEN coalesce(json_type(a), 'NULL') <> 'NULL' THEN '$.modules' WHEN coalesce(json_type(b), 'NULL') <> 'NULL' THEN '$.report.modules' END AS root, "
+    "array_to_string(list_sort(list_filter(json_keys(j), lambda k: k NOT IN ('modules', 'report'))), ',') AS others "
+    "FROM (SELECT parent, j, json_extract(j, '$.modules') AS a, json_extract(j, '$.report.modules') AS b "
+    "FROM (SELECT run_id AS parent, CAST(counts AS JSON) AS j FROM cached_runs WHERE json_valid(counts))) WHERE json_type(j) = 'OBJECT'"
+)
+ORACLE["p3_severe_checks"] = f"SELECT parent, key, parent_key, pos_1, pos_2, id, severity, n FROM ({_level_sql(RUNS, 'counts', 2)}) WHERE variant = 'checks:branch:severity+n'"

@@ -1,6 +1,8 @@
 """Nested records: shapes, positions, parents, dirty texts."""
 
-from quire.operators.nested import RUNS, VERDICTS, leaf_rows, level_table, subtype
+import dataclasses
+
+from quire.operators.nested import RUNS, VERDICTS, Level, leaf_rows, level_table, objects, record_table, subtype, variants
 
 TEXTS = [
     ("a", '{"modules": [null, {"name": "m", "checks": {"id": "c", "n": "2", "evidence": [null, {"page": 3}]}}, {"name": "q"}]}'),
@@ -42,3 +44,27 @@ def test_levels_link_to_parents(spark):
 
 def test_empty(spark):
     assert leaf_rows(_df(spark).limit(0), RUNS, "counts").count() == 0
+
+
+def test_undeclared_members_are_kept(spark):
+    rows = [("a", '{"totals": {"n": 2}, "schema": 3, "modules": [{"name": "m", "tags": ["x"], "weight": 1.5}]}')]
+    table = level_table(_df(spark, rows), RUNS, "counts", 1).first()
+    assert table.others == {"tags": '["x"]'} and table.weight == 1.5 and table.variant == "modules:leaf:weight"
+    assert [tuple(r) for r in record_table(_df(spark, rows), RUNS, "counts").collect()] == [("a", "$.modules", "schema,totals")]
+    assert [tuple(r) for r in variants(_df(spark, rows), RUNS, "counts").collect()] == [("cached_runs", "modules:leaf:weight", 1)]
+
+
+def test_any_depth(spark):
+    """A fourth level below the evidence, and a shape of one level."""
+    deep = dataclasses.replace(RUNS, levels=(*RUNS.levels, Level("boxes", "boxes", "k")))
+    rows = [("a", '{"modules": {"name": "m", "checks": {"id": "c", "evidence": [{"boxes": [null, {"k": "z"}]}, {"page": 1}]}}}')]
+    got = sorted((r.level, r.pos, r.labels, r.state) for r in objects(_df(spark, rows), deep, "counts").collect())
+    assert got == [
+        (1, [0], ["m"], "branch"),
+        (2, [0, 0], ["m", "c"], "branch"),
+        (3, [0, 0, 0], ["m", "c", None], "branch"),
+        (3, [0, 0, 1], ["m", "c", None], "leaf"),
+        (4, [0, 0, 0, 1], ["m", "c", None, "z"], "leaf"),
+    ]
+    flat = dataclasses.replace(RUNS, levels=RUNS.levels[:1])
+    assert [(r.pos, r.state) for r in objects(_df(spark, rows), flat, "counts").collect()] == [([0], "leaf")]
