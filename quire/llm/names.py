@@ -11,7 +11,11 @@ every key walks it as a Levenshtein automaton with swaps, one row of the edit
 table a node, leaving subtrees beyond the bound.  A rare spelling follows its
 most frequent neighbour; the strings of such a family are then told apart by
 given names: equal, a short form, one change from a usual one, an initial with
-its middle initials.  A string that could be two persons is linked to neither.
+its middle initials.  A person of three words or more without a comma or initials
+may stand in any order: of the readings (each end as the surname, one word or all
+but one) the one whose surname is surest elsewhere is taken.  A string that could
+be two persons is the one that stands under the same titles, if the titles tell,
+else it is linked to neither.
 
 Defined results: null and blank names and marks such as ``et al.`` are no
 names; strings that differ at all are different strings; a string in many rows is
@@ -62,7 +66,7 @@ _SUFFIX = {"jr", "sr", "ii", "iii", "iv", "phd", "dr", "prof", "mr", "mrs", "ms"
 _MARK = re.compile(r"\W*(?:et\.?\s*al|and\s+others|others|u\.?\s*a|etc)\.?\W*\Z", re.I)
 _SPACING = str.maketrans("", "", "´`¨^~¸ˆ˜˙˚")
 
-PARSED = "name string, n long, kind string, key string, first string, mids string, swapped boolean"
+PARSED = "name string, n long, kind string, key string, first string, mids string, swapped boolean, sure boolean, turns array<string>"
 
 
 def is_name(name: str | None) -> bool:
@@ -201,21 +205,26 @@ def stream_groups(columns: list[str], work: Callable[[pd.DataFrame], pd.DataFram
     """A mapInPandas function that calls ``work`` on each run of equal columns of sorted rows."""
 
     def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # the parts of the last group so far
+        at: tuple | None = None
         for pdf in parts:
-            if held is not None and len(held):
-                pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             ids = pdf[columns]
             cuts = [*(ids.ne(ids.shift()).any(axis=1).to_numpy().nonzero()[0]), len(pdf)]
-            out = [work(pdf.iloc[a:b]) for a, b in zip(cuts[:-2], cuts[1:-1], strict=True)]
-            held = pdf.iloc[cuts[-2] :]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(ids.iloc[a])
+                if key != at and held:
+                    out.append(work(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]))
+                    held = []
+                at = key
+                held.append(pdf.iloc[a:b])
             out = [o for o in out if o is not None]
             if out:
                 yield pd.concat(out, ignore_index=True)
-        if held is not None and len(held):
-            last = work(held)
+        if held:
+            last = work(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0])
             if last is not None:
                 yield last
 
@@ -247,6 +256,25 @@ def trie_join(keys: DataFrame) -> DataFrame:
     return ready.mapInPandas(stream_groups(["shard"], _shard_pairs), "a string, b string").distinct()
 
 
+def turns(name: str) -> list[str]:
+    """The readings (surname, first given name, middle initials, set apart by spaces) of a person's words in
+    other orders; none where a comma or initials tell, or where there are two words only."""
+    if "," in name:
+        return []
+    toks = [t for t in _tokens(name.translate(_SPACING)) if folded(t) not in _SUFFIX]
+    if len(toks) < 3 or any(_is_initials(t) for t in toks):
+        return []
+    ws = [folded(t) for t in toks]
+    initials = lambda rest: "".join(w[0] for w in rest)
+    return [f"{s} {f} {initials(rest)}" for s, f, rest in ((ws[-1], ws[0], ws[1:-1]), (ws[0], ws[1], ws[2:]), ("".join(ws[:-1]), ws[-1], []), ("".join(ws[1:]), ws[0], []))]
+
+
+def _is_sure(name: str, kind: str) -> bool:
+    """Whether a person's surname can be told from the string alone."""
+    toks = _tokens(name.translate(_SPACING))
+    return kind == "p" and len(toks) > 1 and ("," in name or any(_is_initials(t) for t in toks))
+
+
 def parsed(names: DataFrame) -> DataFrame:
     """One row per distinct name (name, n) with its reading; ``swapped``: a
     person of two words, which might stand the other way round."""
@@ -258,10 +286,11 @@ def parsed(names: DataFrame) -> DataFrame:
                 if is_name(name):
                     kind, key, first, mids = parse(name)
                     if key:
-                        rows.append((name, n, kind, key, first, mids, kind == "p" and len(first) > 1 and not mids))
+                        rows.append((name, n, kind, key, first, mids, kind == "p" and len(first) > 1 and not mids, _is_sure(name, kind), turns(name) if kind == "p" else []))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in PARSED.split(", ")])
 
     read = landed(names.groupBy("name").agg(F.sum("n").alias("n")).mapInPandas(op, PARSED), "names")
+    read = _turned(read)
     usual = read.filter("kind = 'p' AND length(first) > 1").groupBy(F.col("first").alias("w")).agg(F.countDistinct("key").alias("u"))
     usual = usual.filter(F.col("u") >= USUAL)
     a, b = usual.select(F.col("w").alias("first"), F.col("u").alias("as_first")), usual.select(F.col("w").alias("key"), F.col("u").alias("as_key"))
@@ -278,6 +307,19 @@ def parsed(names: DataFrame) -> DataFrame:
     )
 
 
+def _turned(read: DataFrame) -> DataFrame:
+    """``read`` with the persons of many words in the order whose surname is surest (a double one that other names show, else the one they have most often)."""
+    sure = read.filter("sure").groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n_sure"))
+    many = read.filter("size(turns) > 0").select("name", F.posexplode("turns").alias("i", "t"))
+    parts = F.split("t", " ")
+    ways = many.select("name", "i", parts[0].alias("k"), parts[1].alias("f"), parts[2].alias("m")).join(sure, "k")
+    best = ways.groupBy("name").agg(F.max_by(F.struct("k", "f", "m"), F.struct(F.col("i") >= 2, "n_sure", -F.col("i"))).alias("b"))
+    both = read.drop("turns", "sure").join(best, "name", "left")
+    is_turned = F.col("b").isNotNull()
+    new = lambda c, x: F.when(is_turned, F.col(f"b.{x}")).otherwise(F.col(c)).alias(c)
+    return both.select("name", "n", "kind", new("key", "k"), new("first", "f"), new("mids", "m"), (F.col("swapped") & ~is_turned).alias("swapped"))
+
+
 def families(read: DataFrame) -> DataFrame:
     """(kind, key, family): the key each spelling follows, by its most frequent neighbour and that one's and
     so on, or itself. A surname of under five letters and its neighbour are linked only if a full given name
@@ -301,12 +343,18 @@ def families(read: DataFrame) -> DataFrame:
             return family
 
 
+def _deleted(word: str) -> list[str]:
+    """A word and what deleting one of its letters leaves."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(name, entity) of one family's strings (name, n, kind, key, first, mids, usual)."""
+    """(name, entity, initial) of one family's strings (name, n, kind, key, first, mids, usual); ``initial`` where
+    the string could be several persons, else null."""
     rows = list(pdf[["name", "n", "kind", "key", "first", "mids", "usual"]].itertuples(index=False))
     label = pdf["family"].iloc[0]
     if rows[0].kind == "o":
-        return pd.DataFrame({"name": [r.name for r in rows], "entity": label})
+        return pd.DataFrame({"name": [r.name for r in rows], "entity": label, "initial": None})
     weight: Counter[str] = Counter()
     usual: dict[str, int] = {}
     for r in rows:
@@ -318,11 +366,18 @@ def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     for g, w in weight.items():
         whole[plain[g]] += w
     given: dict[str, str] = {}
+    # two names within one change or swap leave one string when a letter is deleted
+    left: dict[str, set[str]] = defaultdict(set)
+    for o in whole:
+        for d in _deleted(o):
+            left[d].add(o)
+    common_name = {plain[g]: usual[g] >= USUAL or g in NICKNAMES for g in sorted(usual, key=lambda g: usual[g])}
+    rank = lambda o: (common_name.get(o, False), whole[o], o)
     for g in weight:
         c = plain[g]
         if g not in NICKNAMES and usual[g] < USUAL:
-            near = [(whole[o], o) for o in whole if o != c and distance(c, o) <= 1 and (whole[o], o) > (whole[c], c)]
-            short = [(whole[NICKNAMES[k]], NICKNAMES[k]) for k in NICKNAMES if NICKNAMES[k] in whole and distance(c, k) <= 1 and len(k) > 3 and NICKNAMES[k] != c]
+            near = [(rank(o), o) for o in set().union(*[left[d] for d in _deleted(c)]) if o != c and rank(o) > rank(c) and distance(c, o) <= 1]
+            short = [(rank(NICKNAMES[k]), NICKNAMES[k]) for k in NICKNAMES if NICKNAMES[k] in whole and len(k) > 3 and NICKNAMES[k] != c and distance(c, k) <= 1]
             if near or short:
                 c = max(near or short)[1]
         given[g] = c
@@ -350,48 +405,89 @@ def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
             for f in forms if len(longest) > 1 else list(by):
                 for r in by.get(f, []):
                     entity[r.name] = f"{k}|{g}|{m}"
-    loose: dict[tuple[str, str], list] = defaultdict(list)
+    loose: dict[str, list] = defaultdict(list)
+    by_initial: dict[str, list] = defaultdict(list)
+    for p in persons:
+        by_initial[p[1][0]].append(p)
+    memo: dict[tuple[str, str, str], list] = {}
+
+    def fitting(key: str, first: str, mids: str) -> list:
+        """The persons that a surname with initials may stand for."""
+        fits = [p for p in by_initial[first] if p[0] in (key, common, base.get(key, common)) and (not mids or not p[2] or p[2].startswith(mids) or mids.startswith(p[2]))] if first else []
+        if mids and len(fits) > 1:
+            fits = [p for p in fits if p[2].startswith(mids)] or fits
+        if len(fits) > 1 and any(p[0] == key for p in fits):
+            fits = [p for p in fits if p[0] == key]
+        if not mids and len(fits) > 1 and len({p[1] for p in fits}) == 1:
+            fits = [p for p in fits if not p[2]]
+        return fits
+
+    unsure: dict[str, str] = {}
     for r in rows:
         if len(r.first) > 1:
             continue
-        fits = [p for p in persons if p[0] in (r.key, common, base.get(r.key, common)) and r.first and r.first == p[1][0] and (not r.mids or not p[2] or p[2].startswith(r.mids) or r.mids.startswith(p[2]))]
-        if r.mids and len(fits) > 1:
-            fits = [p for p in fits if p[2].startswith(r.mids)] or fits
-        if len(fits) > 1 and any(p[0] == r.key for p in fits):
-            fits = [p for p in fits if p[0] == r.key]
-        if not r.mids and len(fits) > 1 and len({p[1] for p in fits}) == 1:
-            fits = [p for p in fits if not p[2]]
+        asked = (r.key, r.first, r.mids)
+        if asked not in memo:
+            memo[asked] = fitting(*asked)
+        fits = memo[asked]
         if len(fits) == 1:
             k, g, m, _ = fits[0]
             entity[r.name] = f"{k}|{g}|{m}"
+        elif fits:
+            entity[r.name] = f"?{r.name}"
+            unsure[r.name] = r.first
         else:
-            loose[r.first, ""].append(r) if not fits else entity.__setitem__(r.name, f"?{r.name}")
-    for (i, _), forms in loose.items():
+            loose[r.first].append(r)
+    for i, forms in loose.items():
         mids = sorted({r.mids for r in forms if r.mids})
         for r in forms:
             entity[r.name] = f"{common}|{i}.|{(r.mids if len(mids) > 1 else '')}"
-    return pd.DataFrame({"name": list(entity), "entity": [f"p:{common}:{e}" for e in entity.values()]})
+    return pd.DataFrame({"name": list(entity), "entity": [f"p:{common}:{e}" for e in entity.values()], "initial": [unsure.get(n) for n in entity]})
+
 
+def entities(names: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(name, entity) of the distinct names (name, n).
 
-def entities(names: DataFrame) -> DataFrame:
-    """(name, entity) of the distinct names (name, n)."""
+    ``titles`` (name, h): the titles under which each name stands, as hashes. A string that could be several
+    persons is the one whose strings share most titles with it, if one person has more than the others."""
     read = landed(parsed(names), "names-read")
     fam = families(read)
     joined = read.withColumn("k", F.concat("kind", F.lit(":"), "key")).join(fam, "k").drop("k")
     ready = scattered(joined, "family").sortWithinPartitions("family")
-    return ready.mapInPandas(stream_groups(["family"], resolve), "name string, entity string")
+    found = ready.mapInPandas(stream_groups(["family"], resolve), "name string, entity string, initial string")
+    if titles is None:
+        return found.select("name", "entity")
+    found = landed(found, "entities-first")
+    family = F.substring_index("entity", ":", 2).alias("family")
+    unsure = found.filter("initial IS NOT NULL").select("name", family, "initial")
+    sure = found.filter("initial IS NULL AND entity LIKE 'p:%'").select(F.col("name").alias("other"), family, F.substring(F.split_part("entity", F.lit("|"), F.lit(2)), 1, 1).alias("initial"), "entity")
+    asked = landed(unsure.join(titles, "name").select("name", "family", "initial", "h").distinct(), "names-asked")
+    beside = titles.join(asked.select("h").distinct(), "h").select(F.col("name").alias("other"), "h").distinct().join(sure, "other")
+    met = asked.join(beside, ["h", "family", "initial"]).groupBy("name", "entity").agg(F.countDistinct("h").alias("n"))
+    most = Window.partitionBy("name").orderBy(F.desc("n"))
+    best = met.withColumn("rank", F.rank().over(most)).filter("rank = 1").groupBy("name").agg(F.min("entity").alias("told"), F.count("*").alias("of")).filter("of = 1")
+    return found.join(best, "name", "left").select("name", F.coalesce("told", "entity").alias("entity"))
+
+
+def titled(df: DataFrame, column: str, title: str) -> DataFrame:
+    """(name, h) of a column of author lists: the hash of the title's letters and digits under which each name stands."""
+    authors = F.col(column)
+    if dict(df.dtypes)[column] == "string":
+        authors = F.from_json(authors, "array<string>")
+    plain = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]", "")
+    return df.filter(F.length(plain) >= 8).select(F.explode(authors).alias("name"), F.xxhash64(plain).alias("h")).filter("name IS NOT NULL").distinct()
 
 
-def pairs(names: DataFrame) -> DataFrame:
+def pairs(names: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(name_a, name_b): every two strings of one entity."""
-    e = landed(entities(names), "entities")
+    e = landed(entities(names, titles), "entities")
     a, b = e.select("entity", F.col("name").alias("name_a")), e.select("entity", F.col("name").alias("name_b"))
     return a.join(b, "entity").filter("name_a < name_b").select("name_a", "name_b").distinct()
 
 
-def groups(names: DataFrame) -> DataFrame:
+def groups(names: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(name, entity, n_names): each string with the smallest string of its entity and their number."""
-    e = landed(entities(names), "entities")
+    e = landed(entities(names, titles), "entities")
     w = Window.partitionBy("entity")
     return e.select("name", F.min("name").over(w).alias("entity"), F.count("*").over(w).alias("n_names"))
 

@@ -123,14 +123,20 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, h) of every author list beside a title."""
+    parts = [names.titled(table(spark, sf_dir, t), "authors", "title") for t in ("bib_entries", "records", "papers")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two spellings of one person or organisation."""
-    return names.pairs(_names(spark, sf_dir))
+    return names.pairs(_names(spark, sf_dir), _titles(spark, sf_dir))
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each spelling with the group it belongs to."""
-    return names.groups(_names(spark, sf_dir))
+    return names.groups(_names(spark, sf_dir), _titles(spark, sf_dir))
 
 
 QUERIES |= {"p1_found": p1_found, "p1_groups": p1_groups}

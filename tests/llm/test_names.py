@@ -3,11 +3,12 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.names import Trie, distance, entities, families, is_name, listed, pairs, parse, shards, trie_join
+from quire.llm.names import Trie, distance, entities, families, is_name, listed, pairs, parse, shards, stream_groups, titled, trie_join
 
 
 def _plain(a, b):
@@ -85,3 +86,33 @@ def test_chains_are_followed_to_their_end_and_short_surnames_by_given_name(spark
     got = {r.k: r.family for r in families(spark.createDataFrame(rows, "kind string, key string, first string, n long")).collect()}
     assert {got[f"p:{k}"] for k in chain} == {"p:ravedors"}
     assert (got["p:wagn"], got["p:yang"], got["p:wamg"], got["o:wan"]) == ("p:wang", "p:yang", "p:wamg", "o:wan")
+
+
+def test_words_in_any_order(spark):
+    """Three words without comma or initials: the surname is the end that others show to be one."""
+    rows = [["Anna Maria Kowalski", "Kowalski Anna Maria", "Kowalski, Anna M.", "A. M. Kowalski"], ["Juan Garcia Lopez", "Garcia Lopez, Juan"]]
+    df = spark.createDataFrame([(r,) for r in rows], "authors array<string>")
+    got = {tuple(r) for r in pairs(listed(df, "authors")).collect()}
+    assert got == {p for g in rows for p in itertools.combinations(sorted(g), 2)}
+
+
+def test_usual_given_names_lead(spark):
+    """A misspelled given name follows a usual one even where it stands more often."""
+    usual = [["Dmitri Abadon"], ["Dmitri Bedelar"], ["Dmitri Cederon"]]
+    rows = [*usual, ["Dmittri Ravedor"], ["Ravedor, Dmittri"], ["Dmitri Ravedor"]]
+    got = {tuple(r) for r in pairs(listed(spark.createDataFrame([(r,) for r in rows], "authors array<string>"), "authors")).collect()}
+    assert got == set(itertools.combinations(sorted(["Dmittri Ravedor", "Ravedor, Dmittri", "Dmitri Ravedor"]), 2))
+
+
+def test_titles_tell_who_an_initial_is(spark):
+    rows = [("On Parsing", ["Jonathan Ravedor"]), ("On parsing!", ["J. Ravedor"]), ("Of Birds", ["Jennifer Ravedor"]), ("Of Bees", ["Julia Ravedor", "Ravedor J"]), (None, ["Ravedor, J."])]
+    df = spark.createDataFrame(rows, "title string, authors array<string>")
+    got = {tuple(r) for r in pairs(listed(df, "authors"), titled(df, "authors", "title")).collect()}
+    assert got == {("J. Ravedor", "Jonathan Ravedor")}
+
+
+def test_group_over_many_batches():
+    """Runs of equal keys are put together whatever the batches."""
+    frames = [pd.DataFrame({"g": [0, 0]}), pd.DataFrame({"g": [0]}), pd.DataFrame({"g": []}), pd.DataFrame({"g": [0, 1, 2]}), pd.DataFrame({"g": [2]})]
+    op = stream_groups(["g"], lambda pdf: pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(pdf)]}))
+    assert pd.concat(op(iter(frames))).to_numpy().tolist() == [[0, 4], [1, 1], [2, 2]]
