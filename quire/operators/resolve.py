@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -30,10 +31,12 @@ def dedupe_groups(bib: DataFrame) -> DataFrame:
     return bib.groupBy(k.alias("key")).agg(F.count("*").alias("n"), F.min("entry_id").alias("first"))
 
 
-def _word_pairs(e: DataFrame, r: DataFrame) -> DataFrame:
-    """(e_t, r_t) of all titles whose word similarity is at least WORDS, none left out: c common words of
-    titles of l <= m words score c / 2 (1 / (l + m - c) + 1 / l), so that c >= (2 - sqrt(2)) l, and one of the
-    l - c + 1 rarest words of the shorter title is common. A pair is kept at its rarest common word alone."""
+def _word_pairs(e: DataFrame, r: DataFrame, least: float = WORDS) -> DataFrame:
+    """(e_t, r_t) of all titles whose word similarity is at least ``least``, none left out: c common words of
+    titles of l <= m words score c / 2 (1 / (l + m - c) + 1 / l), most for l = m, so that c >= x l for the x at
+    which that is ``least``, and one of the l - c + 1 rarest words of the shorter title is common. A pair is kept
+    at its rarest common word alone."""
+    share = (3 + 2 * least - math.sqrt((3 + 2 * least) ** 2 - 16 * least)) / 2 - 1e-9
     n = e.select(F.explode("w").alias("x")).unionAll(r.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
 
     def ranked(df: DataFrame) -> DataFrame:
@@ -41,11 +44,11 @@ def _word_pairs(e: DataFrame, r: DataFrame) -> DataFrame:
         return landed(x.select("t", F.col("w.x").alias("w"), F.size("w").alias("l")), "title-words")
 
     def met(short: DataFrame, long: DataFrame, more: int) -> DataFrame:
-        s = short.select(F.col("t").alias("s_t"), F.col("w").alias("s_w"), F.col("l").alias("s_l"), F.posexplode(F.slice("w", F.lit(1), F.col("l") - F.ceil(0.5857 * F.col("l")).cast("int") + 1)).alias("s_i", "x"))
+        s = short.select(F.col("t").alias("s_t"), F.col("w").alias("s_w"), F.col("l").alias("s_l"), F.posexplode(F.slice("w", F.lit(1), F.col("l") - F.ceil(share * F.col("l")).cast("int") + 1)).alias("s_i", "x"))
         g = long.select(F.col("t").alias("g_t"), F.col("w").alias("g_w"), F.col("l").alias("g_l"), F.posexplode("w").alias("g_i", "x"))
         score = lambda c: 0.5 * c / (F.col("s_l") + F.col("g_l") - c) + 0.5 * c / F.col("s_l")
         most, common = F.least(F.col("s_l") - F.col("s_i"), F.col("g_l") - F.col("g_i")), F.array_intersect("s_w", "g_w")
-        return s.join(g, "x").filter((F.col("s_l") + more <= F.col("g_l")) & (score(most) >= WORDS - 1e-9)).filter((common[0] == F.col("x")) & (score(F.size(common)) >= WORDS - 1e-9))
+        return s.join(g, "x").filter((F.col("s_l") + more <= F.col("g_l")) & (score(most) >= least - 1e-9)).filter((common[0] == F.col("x")) & (score(F.size(common)) >= least - 1e-9))
 
     e, r = ranked(e), ranked(r)
     return met(e, r, 0).select(F.col("s_t").alias("e_t"), F.col("g_t").alias("r_t")).unionAll(met(r, e, 1).select(F.col("g_t").alias("e_t"), F.col("s_t").alias("r_t")))
@@ -64,10 +67,12 @@ def _change_pairs(e: DataFrame, r: DataFrame) -> DataFrame:
     return keys(e, "e").join(keys(r, "r"), ["n", "end", "part"]).filter(F.levenshtein("e_k", "r_k", 1) >= 0).select("e_t", "r_t")
 
 
-def candidate_pairs(bib: DataFrame, records: DataFrame) -> DataFrame:
+def candidate_pairs(bib: DataFrame, records: DataFrame, least: float = WORDS) -> DataFrame:
     """Entries and records to compare: word similarity of the titles of at least WORDS, compact titles at most
     one change apart or of one long start, or one DOI. Word similarity is 0 for titles without Latin letters
-    or digits: these meet by DOI alone. Titles are matched once however many rows have them."""
+    or digits: these meet by DOI alone. Titles are matched once however many rows have them.
+
+    With ``least`` above WORDS only the pairs of that word similarity are asked for, however they come to be candidates."""
     whole = lambda df, key, doi: landed(df.filter("title IS NOT NULL").select(key, "title", "authors", "year", C.normalised_title(F.col("title")).alias("t"), doi.alias("dois")), key)
     e = whole(bib, "entry_id", F.array(C.normalised_doi(F.col("doi"))))
     r = whole(records, "record_id", F.array(C.normalised_doi(F.col("doi")), C.normalised_doi(F.col("published_doi"))))
@@ -77,18 +82,29 @@ def candidate_pairs(bib: DataFrame, records: DataFrame) -> DataFrame:
         return df.filter("t <> ''").select("t").distinct().select("t", words.alias("w"), F.regexp_replace("t", " ", "").alias("k"))
 
     et, rt = titles(e), titles(r)
+    if least > WORDS:
+        return _named(e, r, _of_titles(e, r, _word_pairs(et, rt, least)))
     start = lambda df, side: df.filter(F.length("k") >= BLOCK).select(F.col("t").alias(f"{side}_t"), F.substring("k", 1, BLOCK).alias("b"))
     pairs = _word_pairs(et, rt).unionAll(_change_pairs(et, rt)).unionAll(start(et, "e").join(start(rt, "r"), "b").select("e_t", "r_t")).distinct()
-    by_title = pairs.join(e.select("entry_id", F.col("t").alias("e_t")), "e_t").join(r.select("record_id", F.col("t").alias("r_t")), "r_t").select("entry_id", "record_id")
+    by_title = _of_titles(e, r, pairs)
     by_doi = e.select("entry_id", F.explode("dois").alias("doi")).join(r.select("record_id", F.explode("dois").alias("doi")), "doi").select("entry_id", "record_id")
-    ids = by_title.unionAll(by_doi).distinct()
+    return _named(e, r, by_title.unionAll(by_doi).distinct())
+
+
+def _of_titles(e: DataFrame, r: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(entry_id, record_id) of the rows that have two titles."""
+    return pairs.join(e.select("entry_id", F.col("t").alias("e_t")), "e_t").join(r.select("record_id", F.col("t").alias("r_t")), "r_t").select("entry_id", "record_id")
+
+
+def _named(e: DataFrame, r: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs with the fields of both rows."""
     named = lambda df, key, side: df.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("title", "authors", "year")])
     return ids.join(named(e, "entry_id", "e"), "entry_id").join(named(r, "record_id", "r"), "record_id")
 
 
-def scored_candidates(bib: DataFrame, records: DataFrame) -> DataFrame:
+def scored_candidates(bib: DataFrame, records: DataFrame, least: float = WORDS) -> DataFrame:
     """(entry_id, record_id, e_year, r_year, score, authors): word similarity of the titles and author overlap (null: unknown)."""
-    p = candidate_pairs(bib, records)
+    p = candidate_pairs(bib, records, least)
     return p.select("entry_id", "record_id", "e_year", "r_year", C.token_similarity(F.col("e_title"), F.col("r_title")).alias("score"), C.author_overlap(F.col("e_authors"), F.col("r_authors")).alias("authors"))
 
 
@@ -167,7 +183,7 @@ def align(cited: list[str], recorded: list[str]) -> list[int]:
 
 def author_alignments(bib: DataFrame, records: DataFrame) -> DataFrame:
     """(entry_id, record_id, matched, missing, swapped) of each entry's best candidate."""
-    top = best(judged(scored_candidates(bib, records))).filter("outcome <> 'reject'").select("entry_id", "record_id")
+    top = best(judged(scored_candidates(bib, records, REVIEW))).filter("outcome <> 'reject'").select("entry_id", "record_id")
     names = lambda df, k, n: df.select(k, F.transform("authors", C.surname).alias(n))
     both = top.join(names(bib, "entry_id", "c"), "entry_id").join(names(records, "record_id", "r"), "record_id").filter("c IS NOT NULL AND r IS NOT NULL")
 

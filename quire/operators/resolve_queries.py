@@ -131,10 +131,17 @@ _TOK = f"list_distinct(list_filter(string_split({{}}, ' '), lambda w: w NOT IN (
 
 
 def _pairs_sql() -> str:
-    """Candidates that share a title key's two longest words, with their scores."""
-    return f"""(SELECT e.entry_id, r.record_id, e.year AS ey, r.year AS ry, len(list_intersect(e.t, r.t)) AS c, least(len(e.t), len(r.t)) AS l, len(list_distinct(list_concat(e.t, r.t))) AS u,
-    e.s AS es, r.s AS rs FROM (SELECT entry_id, year, {_TOK.format(duck_title("title"))} AS t, list_distinct(list_filter(list_transform(authors, lambda n: {duck_surname("n")}), lambda s: s <> '')) AS s, replace({duck_title("title")}, ' ', '') AS k FROM {BIB} WHERE title IS NOT NULL) e
-    JOIN (SELECT record_id, year, {_TOK.format(duck_title("title"))} AS t, list_distinct(list_filter(list_transform(authors, lambda n: {duck_surname("n")}), lambda s: s <> '')) AS s, replace({duck_title("title")}, ' ', '') AS k FROM {REC} WHERE title IS NOT NULL) r ON left(e.k, 24) = left(r.k, 24) AND length(e.k) >= 24)"""
+    """All candidates: word similarity of 0.5 or more, compact titles of one long start or at most one change apart, or one DOI."""
+    fields = f"{_TOK.format(duck_title('title'))} AS t, list_distinct(list_filter(list_transform(authors, lambda n: {duck_surname('n')}), lambda s: s <> '')) AS s, replace({duck_title('title')}, ' ', '') AS k"
+    return f"""(WITH e AS MATERIALIZED (SELECT entry_id, year, {fields}, {duck_doi("doi")} AS d FROM {BIB} WHERE title IS NOT NULL),
+    r AS MATERIALIZED (SELECT record_id, year, {fields}, [{duck_doi("doi")}, {duck_doi("published_doi")}] AS d FROM {REC} WHERE title IS NOT NULL),
+    w AS (SELECT entry_id, record_id, count(*) AS c FROM (SELECT entry_id, unnest(t) AS x FROM e) a JOIN (SELECT record_id, unnest(t) AS x FROM r) b ON a.x = b.x GROUP BY 1, 2),
+    p AS (SELECT w.entry_id, w.record_id FROM w JOIN e ON e.entry_id = w.entry_id JOIN r ON r.record_id = w.record_id WHERE 0.5 * c / (len(e.t) + len(r.t) - c) + 0.5 * c / least(len(e.t), len(r.t)) >= 0.499999999
+      UNION SELECT entry_id, record_id FROM e JOIN r ON left(e.k, 24) = left(r.k, 24) WHERE length(e.k) >= 24
+      UNION SELECT entry_id, record_id FROM (SELECT entry_id, k, length(k) + unnest([-1, 0, 1]) AS n FROM e WHERE k <> '') x JOIN (SELECT record_id, k, length(k) AS n FROM r WHERE k <> '') y ON x.n = y.n AND levenshtein(x.k, y.k) <= 1
+      UNION SELECT entry_id, record_id FROM e JOIN (SELECT record_id, unnest(d) AS d FROM r) x ON e.d = x.d)
+    SELECT e.entry_id, r.record_id, e.year AS ey, r.year AS ry, len(list_intersect(e.t, r.t)) AS c, least(len(e.t), len(r.t)) AS l, len(list_distinct(list_concat(e.t, r.t))) AS u, e.s AS es, r.s AS rs
+    FROM p JOIN e ON e.entry_id = p.entry_id JOIN r ON r.record_id = p.record_id)"""
 
 
 _SCORED = f"""(SELECT *, CASE WHEN l > 0 THEN 0.5 * c / u + 0.5 * c / l ELSE 0.0 END AS score, CASE WHEN least(len(es), len(rs)) > 0 THEN len(list_intersect(es, rs)) / least(len(es), len(rs)) END AS authors FROM {_pairs_sql()})"""
@@ -163,7 +170,8 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
 )
 def verdict_ladder(spark: SparkSession, d: str) -> DataFrame:
     bib = _bib(spark, d)
-    found = R.best(R.judged(R.scored_candidates(bib, _records(spark, d)))).select("entry_id", "outcome", "author_score")
+    # a candidate below the review threshold is rejected, which says the same as none
+    found = R.best(R.judged(R.scored_candidates(bib, _records(spark, d), R.REVIEW))).select("entry_id", "outcome", "author_score")
     return R.statuses(bib, found).groupBy("status").agg(F.count("*").alias("n"))
 
 

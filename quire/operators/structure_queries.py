@@ -37,7 +37,7 @@ def render_mode_lookup(spark: SparkSession, d: str) -> DataFrame:
     return T.with_render_modes(s, modes).select("doc_id", "page", "line_no", "span_no", "mode", "opacity")
 
 
-@add("glyph_run_fallback", f"SELECT doc_id, page, count(*) AS n FROM (SELECT doc_id, page FROM spans WHERE render_mode = 0 AND page <= 2 UNION ALL SELECT doc_id, page FROM page_lines p WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.render_mode = 0 AND s.page <= 2 AND s.doc_id = p.doc_id AND s.page = p.page)) GROUP BY 1, 2")
+@add("glyph_run_fallback", f"SELECT doc_id, page, count(*) AS n FROM (SELECT doc_id, page FROM spans WHERE render_mode = 0 UNION ALL SELECT doc_id, page FROM page_lines p WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.render_mode = 0 AND s.doc_id = p.doc_id AND s.page = p.page)) GROUP BY 1, 2")
 def glyph_run_fallback(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "spans").filter("render_mode = 0").select("doc_id", "page")
     return T.with_fallback(a, table(spark, d, "page_lines").select("doc_id", "page"), ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
