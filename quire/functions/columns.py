@@ -87,11 +87,15 @@ def normalised_url(url: Column) -> Column:
     return F.when(t.rlike(r"(?i)^https?://[^/\s]*[^/\s.]\.[^/\s.][^/\s]*"), t)
 
 
+# Beginnings of preprint servers' DOIs, and what names them as venues.
+PREPRINT_DOIS = ["10.48550/", "10.1101/", "10.2139/ssrn", "10.31219/", "10.20944/preprints", "10.21203/rs.", "10.36227/techrxiv", "10.26434/chemrxiv"]
+PREPRINT_VENUES = r"(?i)\b(arxiv|corr|ssrn|preprint)\b|biorxiv|medrxiv|techrxiv|chemrxiv|research square|submitted to|not accepted"
+
+
 def is_preprint(preprint: Column, doi: Column, venue: Column) -> Column:
     """What the record says, else whether its DOI or venue is a preprint server's."""
-    prefixes = ("10.48550/", "10.1101/", "10.2139/ssrn", "10.31219/", "10.20944/preprints", "10.21203/rs.", "10.36227/techrxiv", "10.26434/chemrxiv")
-    by_doi = F.coalesce(F.lower(doi).rlike("^(" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")"), F.lit(False))
-    by_venue = F.coalesce(venue.rlike(r"(?i)\b(arxiv|corr|ssrn|preprint)\b|biorxiv|medrxiv|techrxiv|chemrxiv|research square|submitted to|not accepted"), F.lit(False))
+    by_doi = F.coalesce(F.lower(doi).rlike("^(" + "|".join(p.replace(".", r"\.") for p in PREPRINT_DOIS) + ")"), F.lit(False))
+    by_venue = F.coalesce(venue.rlike(PREPRINT_VENUES), F.lit(False))
     return F.coalesce(preprint, by_doi | by_venue)
 
 
@@ -103,7 +107,7 @@ HOST_KINDS = [
 ]
 WORD_KINDS = [
     ("thesis", ["phd thesis", "ph.d. thesis", "master's thesis", "masters thesis", "dissertation"]),
-    ("paper", ["in proceedings", "proceedings of", "journal of", "transactions on", "conference on", "in advances in", "volume", "pages ", "pp."]),
+    ("paper", ["in proceedings", "proceedings of", "journal of", "transactions on", "conference on", "in advances in", "acl", "emnlp", "naacl", "neurips", "icml", "iclr", "aaai", "cvpr", "volume", "pages ", "pp."]),
     ("software", ["github", "gitlab", "repository", "software", "python package", "library, version"]),
     ("blog", ["blog", "news", "announc", "introducing ", "release notes", "press release", "retrieved from", "accessed ", "[online]", "web page", "website"]),
     ("book", ["press,", "publishers", "isbn", "edition,", "chapter "]),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 # Accent commands and the marks they stand for; letter commands.
 ACCENTS = {"'": "́", "`": "̀", '"': "̈", "^": "̂", "~": "̃", "=": "̄", ".": "̇", "c": "̧", "v": "̌", "u": "̆", "H": "̋", "r": "̊", "k": "̨", "d": "̣", "b": "̱"}
-LETTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "aa": "å", "AA": "Å", "i": "ı", "j": "ȷ", "dh": "ð", "th": "þ"}
+LETTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "aa": "å", "AA": "Å", "i": "i", "j": "j"}
 _SIGN = re.compile(r"\\(['`\"^~=.])\s*(?:\{\s*(\\[ij]|[A-Za-z])\s*\}|(\\[ij]|[A-Za-z]))")
 _WORD = re.compile(r"\\([cvuHrkdb])\s*(?:\{\s*(\\[ij]|[A-Za-z])\s*\}|\s(\\[ij]|[A-Za-z]))")
 _LETTER = re.compile(r"\\(" + "|".join(sorted(LETTERS, key=len, reverse=True)) + r")(?![A-Za-z])\s?(?:\{\})?")

@@ -7,12 +7,15 @@ import unicodedata
 from dataclasses import dataclass
 
 # Short forms of common given names.
-SHORT = {
-    "alex": "alexander", "andy": "andrew", "ben": "benjamin", "bill": "william", "bob": "robert", "chris": "christopher", "dan": "daniel", "dave": "david", "ed": "edward",
-    "greg": "gregory", "jim": "james", "joe": "joseph", "jon": "jonathan", "josh": "joshua", "kate": "katherine", "ken": "kenneth", "liz": "elizabeth", "matt": "matthew",
-    "mike": "michael", "nick": "nicholas", "pete": "peter", "phil": "philip", "rob": "robert", "ron": "ronald", "sam": "samuel", "steve": "stephen", "sue": "susan", "tim": "timothy",
-    "tom": "thomas", "tony": "anthony", "vince": "vincent", "will": "william", "zach": "zachary",
-}
+SHORT = [
+    ("tom", "thomas"), ("bill", "william"), ("will", "william"), ("bob", "robert"), ("rob", "robert"), ("jim", "james"), ("mike", "michael"), ("dan", "daniel"),
+    ("dave", "david"), ("chris", "christopher"), ("alex", "alexander"), ("alex", "alexandra"), ("sam", "samuel"), ("sam", "samantha"), ("ben", "benjamin"), ("joe", "joseph"),
+    ("matt", "matthew"), ("nick", "nicholas"), ("tony", "anthony"), ("andy", "andrew"), ("jon", "jonathan"), ("kate", "katherine"), ("katie", "katherine"), ("liz", "elizabeth"),
+    ("beth", "elizabeth"), ("jen", "jennifer"), ("jenny", "jennifer"), ("steve", "stephen"), ("steve", "steven"), ("greg", "gregory"), ("jeff", "jeffrey"), ("pete", "peter"),
+    ("rick", "richard"), ("dick", "richard"), ("ed", "edward"), ("ted", "edward"), ("ken", "kenneth"), ("ron", "ronald"), ("don", "donald"), ("tim", "timothy"),
+    ("fred", "frederick"), ("vicky", "victoria"), ("sue", "susan"), ("nate", "nathan"), ("nate", "nathaniel"), ("zach", "zachary"), ("josh", "joshua"), ("abby", "abigail"),
+]
+_ALIKE = {pair for a, b in SHORT for pair in ((a, b), (b, a))}
 _SUFFIX = {"jr", "sr", "ii", "iii", "iv"}
 
 
@@ -43,7 +46,7 @@ def given_compatible(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     """Whether two lists of given names can be one person's: place by place equal, an
     initial, a short form, or the start of the other."""
     for x, y in zip(a, b, strict=False):
-        if x == y or (min(len(x), len(y)) == 1 and x[0] == y[0]) or SHORT.get(x, x) == SHORT.get(y, y):
+        if x == y or (min(len(x), len(y)) == 1 and x[0] == y[0]) or (x, y) in _ALIKE:
             continue
         if min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x)):
             continue

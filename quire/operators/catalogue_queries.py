@@ -54,7 +54,7 @@ def title_text(spark: SparkSession, d: str) -> DataFrame:
     "empty_headings",
     f"""WITH h AS (SELECT doc_id, CAST(page AS BIGINT) * 10000 + line_no AS pos, numbering FROM {HEADINGS}), l AS (SELECT doc_id, CAST(page AS BIGINT) * 10000 + line_no AS pos, text FROM {LINES}),
     s AS (SELECT l.doc_id, l.text, (SELECT max(h.pos) FROM h WHERE h.doc_id = l.doc_id AND h.pos < l.pos) AS at FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.pos = l.pos))
-    SELECT h.doc_id, h.pos, h.numbering FROM h LEFT JOIN s ON s.doc_id = h.doc_id AND s.at = h.pos GROUP BY 1, 2, 3 HAVING coalesce(sum(len(list_filter(string_split(s.text, ' '), lambda w: w <> ''))), 0) < 60""",
+    SELECT h.doc_id, h.pos, h.numbering FROM h LEFT JOIN s ON s.doc_id = h.doc_id AND s.at = h.pos GROUP BY 1, 2, 3 HAVING coalesce(sum(len(list_filter(string_split(s.text, ' '), lambda w: w <> ''))), 0) < 3""",
 )
 def empty_headings(spark: SparkSession, d: str) -> DataFrame:
     s = _spans(spark, d)
@@ -67,7 +67,7 @@ def empty_headings(spark: SparkSession, d: str) -> DataFrame:
     at = both.withColumn("at", F.last(F.when(head, F.col("pos")), True).over(w))
     words = F.when(~head, F.size(F.filter(F.split("text", " "), lambda x: x != ""))).otherwise(0)
     g = at.filter("at IS NOT NULL").groupBy("doc_id", F.col("at").alias("pos")).agg(F.sum(words).alias("n"), F.max("numbering").alias("numbering"))
-    return g.filter("n < 60").select("doc_id", "pos", "numbering")
+    return g.filter("n < 3").select("doc_id", "pos", "numbering")
 
 
 @add("font_embedding", f"SELECT font, min(page) AS page, count(*) AS n FROM {duck('placed_spans')} WHERE NOT regexp_matches(font, '^[A-Z]{{6}}\\+') AND NOT regexp_matches(font, '^(Helvetica|Times|Courier|Symbol|ZapfDingbats)') GROUP BY 1")
@@ -87,14 +87,30 @@ def panel_completeness(spark: SparkSession, d: str) -> DataFrame:
 _LUM = "0.2126 * {p}.r + 0.7152 * {p}.g + 0.0722 * {p}.b"
 
 
-@add("figure_grayscale", f"SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.box_no AS x, b.box_no AS y FROM {duck('boxes')} a JOIN {duck('boxes')} b ON a.doc_id = b.doc_id AND a.box_no < b.box_no WHERE abs(({_LUM.format(p='a')}) - ({_LUM.format(p='b')})) < 0.0999 AND pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2) > 0.0651) GROUP BY 1")
+_HUE = """CASE WHEN greatest({p}.r, {p}.g, {p}.b) = least({p}.r, {p}.g, {p}.b) THEN NULL
+WHEN greatest({p}.r, {p}.g, {p}.b) = {p}.r THEN 60 * (({p}.g - {p}.b) / (greatest({p}.r, {p}.g, {p}.b) - least({p}.r, {p}.g, {p}.b)))
+WHEN greatest({p}.r, {p}.g, {p}.b) = {p}.g THEN 60 * (2 + ({p}.b - {p}.r) / (greatest({p}.r, {p}.g, {p}.b) - least({p}.r, {p}.g, {p}.b)))
+ELSE 60 * (4 + ({p}.r - {p}.g) / (greatest({p}.r, {p}.g, {p}.b) - least({p}.r, {p}.g, {p}.b))) END"""
+# Degrees that hues of a figure are apart, luminance by which they then must differ.
+APART, LUMINANCE = 60, 0.10
+_AROUND = "abs(x.hue - y.hue)"
+
+
+@add(
+    "figure_grayscale",
+    f"""WITH c AS (SELECT DISTINCT doc_id, r, g, b, {_HUE.format(p='q')} AS hue, round({_LUM.format(p='q')}, 9) AS lum FROM {duck('boxes')} q)
+    SELECT x.doc_id, count(*) AS n FROM c x JOIN c y ON x.doc_id = y.doc_id AND (x.r, x.g, x.b) < (y.r, y.g, y.b) AND round(least({_AROUND}, 360 - {_AROUND}), 9) >= {APART} AND round(abs(x.lum - y.lum), 9) < {LUMINANCE} GROUP BY 1""",
+)
 def figure_grayscale(spark: SparkSession, d: str) -> DataFrame:
-    b = projection(spark, d, "boxes")
-    side = lambda p: b.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("box_no", "r", "g", "b")])
-    j = side("a").join(side("b"), "doc_id").filter("a_box_no < b_box_no")
-    lum = lambda p: 0.2126 * F.col(f"{p}_r") + 0.7152 * F.col(f"{p}_g") + 0.0722 * F.col(f"{p}_b")
-    far = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in "rgb") > 0.0651
-    hit = j.filter((F.abs(lum("a") - lum("b")) < 0.0999) & far).select("doc_id", "a_box_no", "b_box_no").distinct()
+    """Pairs of a document's distinct colours that differ in hue and fall together in grey."""
+    c = projection(spark, d, "boxes").select("doc_id", "r", "g", "b").distinct()
+    hi, lo = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    hue = F.when(hi == lo, F.lit(None)).when(hi == r, 60 * ((g - b) / (hi - lo))).when(hi == g, 60 * (2 + (b - r) / (hi - lo))).otherwise(60 * (4 + (r - g) / (hi - lo)))
+    c = c.select("doc_id", F.struct("r", "g", "b").alias("rgb"), hue.alias("hue"), F.round(0.2126 * r + 0.7152 * g + 0.0722 * b, 9).alias("lum"))
+    y = c.select("doc_id", *[F.col(k).alias(f"y_{k}") for k in ("rgb", "hue", "lum")])
+    around = F.abs(F.col("hue") - F.col("y_hue"))
+    hit = c.join(y, "doc_id").filter((F.col("rgb") < F.col("y_rgb")) & (F.round(F.least(around, 360 - around), 9) >= APART) & (F.round(F.abs(F.col("lum") - F.col("y_lum")), 9) < LUMINANCE))
     return hit.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -127,11 +143,11 @@ def checklist_missing(spark: SparkSession, d: str) -> DataFrame:
     return h.filter(F.size("hs") > 0).select("doc_id", F.explode(missing).alias("code"))
 
 
-@add("checklist_justifications", rf"SELECT doc_id, regexp_extract(h, '^([A-Z][0-9]+)', 1) AS code, length(trim(regexp_extract(h, '\]([^\n]*)$', 1))) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ITEM}')) AS h FROM documents WHERE source = 'checklist') WHERE regexp_matches(h, '\[(No|N/A)\]') AND length(trim(regexp_extract(h, '\]([^\n]*)$', 1))) < 60")
+@add("checklist_justifications", rf"SELECT doc_id, regexp_extract(h, '^([A-Z][0-9]+)', 1) AS code, length(trim(regexp_extract(h, '\]([^\n]*)$', 1))) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ITEM}')) AS h FROM documents WHERE source = 'checklist') WHERE regexp_matches(h, '\[(No|N/A)\]') AND length(trim(regexp_extract(h, '\]([^\n]*)$', 1))) < 15")
 def checklist_justifications(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "documents").filter("source = 'checklist'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"({_ITEM})"), 1)).alias("h"))
     n = F.length(F.trim(F.regexp_extract("h", r"\]([^\n]*)$", 1)))
-    return h.filter(F.col("h").rlike(r"\[(No|N/A)\]")).select("doc_id", F.regexp_extract("h", "^([A-Z][0-9]+)", 1).alias("code"), n.cast("bigint").alias("n")).filter("n < 60")
+    return h.filter(F.col("h").rlike(r"\[(No|N/A)\]")).select("doc_id", F.regexp_extract("h", "^([A-Z][0-9]+)", 1).alias("code"), n.cast("bigint").alias("n")).filter("n < 15")
 
 
 @add("section_extents", f"""SELECT doc_id, start, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS "end" FROM (SELECT DISTINCT doc_id, CAST(page AS BIGINT) * 10000 + line_no AS start FROM {HEADINGS})""")

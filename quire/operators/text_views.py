@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = ["e.g.", "i.e.", "et al.", "Fig.", "Figs.", "Eq.", "Eqs.", "Sec.", "Tab.", "cf.", "vs.", "etc.", "resp.", "approx.", "Dr.", "Prof.", "No.", "pp.", "Vol.", "al."]
+ABBREVIATIONS = ["e.g.", "i.e.", "cf.", "et al.", "vs.", "etc.", "Fig.", "Eq.", "Sec.", "Tab.", "Ref.", "Refs.", "Alg.", "App.", "approx.", "resp.", "Dr.", "Prof.", "Mr.", "Ms."]
 # Stock connectives, verbs after a bare demonstrative, stock wrap-ups.
 CONNECTIVES = ["furthermore", "moreover", "notably", "consequently", "additionally", "importantly", "therefore", "thus", "hence", "it is worth noting", "it should be noted"]
 DEMONSTRATIVE_VERBS = [
