@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import catalogue_queries, layout_queries, nested_queries, resolve_queries, structure_queries, text_queries
+from quire.operators import catalogue_queries, layout_queries, nested_queries, outline_queries, resolve_queries, structure_queries, text_queries
 from quire.plans import plan_queries
 from quire.sources import source_queries
 from quire.streaming import stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (nested_queries, layout_queries, text_queries, resolve_queries, structure_queries, plan_queries, source_queries, stream_queries, catalogue_queries)
+_MODULES = (nested_queries, layout_queries, text_queries, resolve_queries, structure_queries, plan_queries, source_queries, stream_queries, catalogue_queries, outline_queries)
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}

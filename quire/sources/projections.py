@@ -28,6 +28,21 @@ PROJECTIONS: dict[str, tuple[tuple[str, ...], str]] = {
         CAST((l_suppkey % 10) / 10.0 AS DOUBLE) AS r, CAST((l_partkey % 10) / 10.0 AS DOUBLE) AS g, CAST((l_orderkey % 10) / 10.0 AS DOUBLE) AS b
         FROM lineitem""",
     ),
+    "outline_lines": (
+        ("docs", "nation"),
+        """SELECT doc_id, page, line_no, text, CAST(CASE WHEN kind = 'title' THEN 14.0 WHEN kind = 'head' AND doc_id % 2 = 0 THEN 12.0 ELSE 10.0 END AS DOUBLE) AS size, (kind = 'head' AND doc_id % 2 = 1) AS bold
+        FROM (SELECT d.doc_id, p.page, k.line_no, CASE WHEN p.page = 1 AND k.line_no = 1 THEN 'title' WHEN k.line_no IN (1, 4) THEN 'head' ELSE 'body' END AS kind,
+        CASE WHEN p.page = 1 AND k.line_no = 1 THEN concat('A Study of Paper ', CAST(d.doc_id AS {str}))
+        WHEN p.page = 1 AND k.line_no = 4 THEN 'Abstract'
+        WHEN k.line_no = 1 AND p.page = 6 + d.doc_id % 4 AND d.doc_id % 5 <> 0 THEN CASE WHEN d.doc_id % 7 = 0 THEN '6 Limitations' WHEN d.doc_id % 11 = 0 THEN 'Limitation' ELSE 'Limitations' END
+        WHEN k.line_no = 4 AND p.page = 7 + d.doc_id % 3 AND d.doc_id % 13 <> 0 THEN CASE WHEN d.doc_id % 6 = 0 THEN 'Bibliography' ELSE 'References' END
+        WHEN k.line_no = 1 AND d.doc_id % 3 <> 0 AND p.page = CASE WHEN d.doc_id % 17 = 0 THEN 5 ELSE 10 END THEN CASE WHEN d.doc_id % 4 = 0 THEN 'B. Appendix' ELSE 'Appendix' END
+        WHEN k.line_no = 1 THEN concat(CAST(p.page AS {str}), CASE WHEN d.doc_id % 2 = 0 THEN '. Part ' ELSE ' Part ' END, CAST(p.page AS {str}))
+        WHEN k.line_no = 4 THEN concat('Figure ', CAST(p.page AS {str}), ': Things of page ', CAST(p.page AS {str}))
+        ELSE concat('The text of line ', CAST(k.line_no AS {str}), ' goes on and on over the whole width of the page') END AS text
+        FROM (SELECT DISTINCT doc_id FROM docs) d JOIN (SELECT CAST(n_nationkey + 1 AS INT) AS page FROM nation WHERE n_nationkey < 10) p ON 1 = 1
+        JOIN (SELECT CAST(n_nationkey + 1 AS INT) AS line_no FROM nation WHERE n_nationkey < 6) k ON 1 = 1) t""",
+    ),
     "stats_text": (
         ("lineitem",),
         """SELECT o_orderkey AS doc_id, concat('We found ', CAST(n AS {str}), ' of ', CAST(m AS {str}), ' (',
