@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import layout as L
+from quire.operators import outline as O
 from quire.operators import sequences as S
 from quire.operators import text_views as V
 from quire.plans.config import setting
 from quire.plans import specs
-from quire.plans.registry import Registry
+from quire.plans.registry import Registry, Views
 
 CHECKS = Registry()
-Tables = Callable[[str], DataFrame]
+Tables = Views
 
 
 def _found(df: DataFrame, severity: str, message, **more) -> DataFrame:
@@ -23,11 +22,31 @@ def _found(df: DataFrame, severity: str, message, **more) -> DataFrame:
 
 
 def _sentences(tables: Tables) -> DataFrame:
-    return V.sentences(tables("documents").filter("text IS NOT NULL"), ["doc_id"])
+    return tables.view("sentences", lambda: V.sentences(tables("documents").filter("text IS NOT NULL"), ["doc_id"]))
 
 
 def _spans(tables: Tables) -> DataFrame:
-    return L.delivered_once(tables("spans"))
+    return tables.view("spans", lambda: L.delivered_once(tables("spans")))
+
+
+def _lines(tables: Tables) -> DataFrame:
+    return tables.view("lines", lambda: L.lines(_spans(tables)))
+
+
+def _body(tables: Tables) -> DataFrame:
+    return tables.view("body", lambda: L.body_font_size(_spans(tables)))
+
+
+def _structure(tables: Tables, profile: dict) -> DataFrame:
+    tracks = profile.get("tracks") or {}
+    limit = tracks.get(profile.get("default_track"), next(iter(tracks.values()), {})).get("limit")
+
+    def make() -> DataFrame:
+        heads = O.outline(_lines(tables))
+        found = O.findings(O.placed(_lines(tables), heads), heads, limit or 0)
+        return found if limit else found.filter("check <> 'page_limit'")
+
+    return tables.view("structure", make)
 
 
 @CHECKS.register("sentence_length", "Sentence length", module="core.prose", category="prose", order=40)
@@ -75,7 +94,7 @@ def percentage_arithmetic(tables: Tables, profile: dict) -> DataFrame:
 @CHECKS.register("body_font_size", "Body font size", module="core.fonts", category="format", order=20)
 def body_font_size(tables: Tables, profile: dict) -> DataFrame:
     allowed = setting(profile, "fonts.body_sizes_pt", [10.0, 11.0])
-    s = L.body_font_size(_spans(tables))
+    s = _body(tables)
     ok = F.exists(F.array(*[F.lit(float(a)) for a in allowed]), lambda a: F.abs(F.col("size") - a) <= 0.6)
     return s.select("doc_id", F.when(ok, "pass").otherwise("error").alias("severity"), F.format_string("body text is set in %.1f pt", F.col("size")).alias("message"), F.col("size").alias("measured"))
 
@@ -91,15 +110,14 @@ def min_font_size(tables: Tables, profile: dict) -> DataFrame:
 @CHECKS.register("margins", "Margins", module="core.geometry", category="format", order=11)
 def margins(tables: Tables, profile: dict) -> DataFrame:
     m = {k: float(setting(profile, f"margins.{k}_pt", v)) for k, v in (("left", 71), ("right", 71), ("top", 57), ("bottom", 62))}
-    over = L.margin_overshoots(L.body_lines(L.lines(_spans(tables))), **m)
+    over = L.margin_overshoots(L.body_lines(_lines(tables)), **m)
     g = over.groupBy("doc_id", "page", "side").agg(F.count("*").alias("n"), F.max("over").alias("over"))
     return _found(g, "error", F.format_string("%d lines beyond the %s margin", F.col("n"), F.col("side")), measured=F.col("over"), page=F.col("page"))
 
 
 @CHECKS.register("heading_hierarchy", "Heading numbers", module="core.headings", category="structure", order=37)
 def heading_hierarchy(tables: Tables, profile: dict) -> DataFrame:
-    s = _spans(tables)
-    bad = S.numbering_problems(L.headings(L.lines(s), L.body_font_size(s)))
+    bad = S.numbering_problems(L.headings(_lines(tables), _body(tables)))
     return _found(bad, "warning", F.concat_ws(": ", "numbering", "problem"), page=F.col("page"))
 
 
@@ -139,4 +157,33 @@ def rnlp_summary(tables: Tables, profile: dict) -> DataFrame:
     return g.filter("all > 0").select("doc_id", F.when(share < 0.5, "error").otherwise("warning").alias("severity"), F.format_string("%d of %d answered yes", F.col("yes"), F.col("all")).alias("message"), F.round(share, 4).alias("measured"))
 
 
+def _section_check(id: str, title: str, order: int, what: str) -> None:
+    @CHECKS.register(id, title, module="core.structure", category="structure", order=order)
+    def check(tables: Tables, profile: dict) -> DataFrame:
+        own = _structure(tables, profile).filter(F.col("check") == id)
+        return own.select("doc_id", "severity", F.when(F.col("page").isNull(), F.lit(f"{what}: not found")).otherwise(F.format_string(f"{what}: page %d", F.col("page"))).alias("message"), "page")
+
+
+for _id, _title, _order, _what in (
+    ("page_limit", "Content pages", 29, "last page of content"), ("limitations_present", "Limitations section", 31, "Limitations"), ("limitations_position", "Limitations placement", 32, "Limitations"),
+    ("references_position", "References placement", 34, "References"), ("appendix_position", "Appendix placement", 35, "Appendix"),
+):
+    _section_check(_id, _title, _order, _what)
+
+
+@CHECKS.register("anonymity_emails", "E-mail addresses", module="core.anonymity", category="anonymity", order=51)
+def anonymity_emails(tables: Tables, profile: dict) -> DataFrame:
+    ignored = "|".join(setting(profile, "anonymity.email_ignore_regexes", [r"@example\.(com|org)$"]))
+    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), 1)))
+    hits = tables("documents").filter("text IS NOT NULL").select("doc_id", found.alias("m")).filter(~F.col("m").rlike(ignored))
+    return _found(hits, "error", F.concat(F.lit("an e-mail address: "), "m"), quote=F.col("m"))
+
+
+@CHECKS.register("anonymity_orcids", "ORCID ids", module="core.anonymity", category="anonymity", order=52)
+def anonymity_orcids(tables: Tables, profile: dict) -> DataFrame:
+    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\d{4}-\d{4}-\d{4}-\d{3}[\dX])\b"), 1)))
+    hits = tables("documents").filter("text IS NOT NULL").select("doc_id", found.alias("m"))
+    return _found(hits, "error", F.concat(F.lit("an ORCID id: "), "m"), quote=F.col("m"))
+
+
 specs.register(CHECKS)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.config import SEVERITIES
+from quire.session import landed
 
 FINDINGS = "doc_id long, check_id string, title string, category string, severity string, message string, measured double, page int, quote string"
 #: Columns a check may leave out.
@@ -31,6 +32,21 @@ class Check:
     build: Callable[..., DataFrame] = field(compare=False)
 
 
+class Views:
+    """The tables of a run, and the views of them that several checks read: each is written once to the shared folder."""
+
+    def __init__(self, tables: Callable[[str], DataFrame]) -> None:
+        self.tables, self.made = tables, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.tables(name)
+
+    def view(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = landed(make(), f"view-{name}")
+        return self.made[name]
+
+
 class Registry:
     """Checks by id."""
 
@@ -58,6 +74,7 @@ class Registry:
 
     def run(self, spark: SparkSession, tables: Callable[[str], DataFrame], profile: dict, flags: frozenset[str] = frozenset()) -> DataFrame:
         out = None
+        tables = Views(tables)
         for c in self.selected(profile, flags):
             try:
                 df = c.build(tables, profile)
@@ -86,9 +103,7 @@ def overridden(findings: DataFrame, overrides: dict[str, str]) -> DataFrame:
 
 def severity_counts(findings: DataFrame) -> DataFrame:
     """(doc_id, severity, n) with a row for every severity, 0 included."""
-    spark = findings.sparkSession
-    every = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(SEVERITIES)], "severity string, rank int"))
-    docs = findings.select("doc_id").distinct().join(every)
+    docs = findings.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.lit(s) for s in SEVERITIES])).alias("severity"))
     n = findings.groupBy("doc_id", "severity").agg(F.count("*").alias("n"))
     return docs.join(n, ["doc_id", "severity"], "left").select("doc_id", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
