@@ -120,12 +120,17 @@ def forms(texts: DataFrame, text: str = "text") -> DataFrame:
     that a reader takes for another one or does not see."""
     rules, looks = _tables(texts.sparkSession)
     base = texts.select(F.col(text).alias("text")).filter(F.col("text").rlike(ODD_TEXT)).distinct()
-    units = base.select(
+    # what depends on a whole text is worked out once a text, and the text itself goes with its first unit alone
+    split = r"regexp_extract_all({}, '[A-Za-z]+|[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[^\\x00-\\x7F]', 0)"
+    ends = F.col("text").rlike("­\\s*$")
+    known = base.select(
         F.xxhash64("text").alias("h1"),
         F.hash("text").alias("h2"),
-        "text",
-        F.posexplode(F.expr(r"regexp_extract_all(text, '[A-Za-z]+|[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[^\\x00-\\x7F]', 0)")).alias("pos", "unit"),
+        F.col("text").rlike(r"\p{IsHan}").alias("han"),
+        F.when(ends, F.size(F.expr(split.format("rtrim(text)"))) - 1).alias("broken"),
+        F.transform(F.expr(split.format("text")), lambda u, i: F.struct(i.alias("pos"), u.alias("unit"), F.when(i == 0, F.col("text")).alias("text"))).alias("units"),
     )
+    units = known.select("h1", "h2", "han", "broken", F.explode("units").alias("u")).select("h1", "h2", "han", "broken", "u.*")
     letters = F.col("unit").rlike("^[A-Za-z]")
     plain = F.array(
         F.struct(
@@ -136,12 +141,11 @@ def forms(texts: DataFrame, text: str = "text") -> DataFrame:
             F.lit(0).alias("odd"),
         )
     )
-    at_end = (F.col("unit") == "­") & (F.col("pos") > 0) & F.col("text").rlike("­\\s*$")
-    last = F.col("pos") >= F.size(F.expr(r"regexp_extract_all(rtrim(text), '[A-Za-z]+|[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[^\\x00-\\x7F]', 0)")) - 1
+    at_end = (F.col("unit") == "­") & (F.col("pos") > 0) & F.coalesce(F.col("pos") >= F.col("broken"), F.lit(False))
     pieces = (
         units.join(rules, "unit", "left")
-        .withColumn("pieces", F.when(at_end & last, plain).otherwise(F.coalesce("pieces", plain)))
-        .select("h1", "h2", "pos", F.when(F.col("pos") == 0, F.col("text")).alias("text"), F.col("text").rlike(r"\p{IsHan}").alias("han"), F.explode("pieces").alias("p"))
+        .withColumn("pieces", F.when(at_end, plain).otherwise(F.coalesce("pieces", plain)))
+        .select("h1", "h2", "pos", "text", "han", F.explode("pieces").alias("p"))
         .select("h1", "h2", "pos", "text", "han", "p.*")
         .join(looks, "piece", "left")
     )
