@@ -174,11 +174,17 @@ def inside_boxes(spans: DataFrame, boxes: DataFrame, slack: float = 2.0, cell: f
     return s.join(b, inside, how).select(*[f"s.{c}" for c in spans.columns])
 
 
-def stacked_boxes(boxes: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, page, box_a, box_b, iou): pairs of boxes of a page that overlap by more than ``share`` of their union."""
-    a = boxes.select("doc_id", "page", F.col("box_no").alias("box_a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = boxes.select("doc_id", "page", F.col("box_no").alias("box_b"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = a.join(b, ["doc_id", "page"]).filter("box_a < box_b AND a_x0 < b_x1 AND b_x0 < a_x1 AND a_y0 < b_y1 AND b_y0 < a_y1")
+def stacked_boxes(boxes: DataFrame, share: float = 0.5, cell: float = 128.0) -> DataFrame:
+    """(doc_id, page, box_a, box_b, iou): pairs of boxes of a page that overlap by more than ``share`` of their union.
+
+    Boxes meet by cells of a page grid, a pair at the cell of its common part's corner alone."""
+
+    def side(no: str, p: str) -> DataFrame:
+        own = boxes.select("doc_id", "page", F.col("box_no").alias(no), *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(grid_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)).alias("c"))
+        return own.select("*", "c.i", "c.j").drop("c")
+
+    here = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("i")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("j"))
+    both = side("box_a", "a").join(side("box_b", "b"), ["doc_id", "page", "i", "j"]).filter("box_a < box_b AND a_x0 < b_x1 AND b_x0 < a_x1 AND a_y0 < b_y1 AND b_y0 < a_y1").filter(here)
     common = (F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")) * (F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
     area = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
     return both.withColumn("iou", F.round(common / (area("a") + area("b") - common), 6)).filter(F.col("iou") > share).select("doc_id", "page", "box_a", "box_b", "iou")
