@@ -82,3 +82,19 @@ def test_very_long_lines_and_words(spark):
     long = spark.createDataFrame([(60, 1, 1, 1, 60.0, 10.0, "w" * 200_000 + "-", "x"), (60, 1, 2, 1, 72.5, 10.0, "." * 200_000 + "a " + "tbe " * 20_000, "x")], SPANS)
     got = [r for r in Repair(s.unionByName(long), p, b).found().collect() if r.doc_id == 60]
     assert all(r.kind in ("split", "misread") for r in got)
+
+
+def test_no_words_go_to_the_driver(spark, monkeypatch):
+    """Workers hold hashes of words; another word of a hash that is held changes nothing."""
+    from quire.llm import scans
+
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", lambda *_: pytest.fail("rows on the driver"))
+    made = Repair(*_inputs(spark))
+    held = scans._held(made.right.select("word")).value
+    assert len(held) and held.dtype == "int64"
+    for r in made.right.collect():
+        assert scans._among(held, r.word)
+    assert not scans._among(held, "nowhere")
+    want = sorted(map(tuple, made.found().collect()))
+    monkeypatch.setattr(scans, "_among", lambda hashes, word: True)
+    assert sorted(map(tuple, Repair(*_inputs(spark)).found().collect())) == want
