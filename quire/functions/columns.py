@@ -34,6 +34,11 @@ def title_key(title: Column) -> Column:
 def token_similarity(a: Column, b: Column) -> Column:
     """Half Jaccard, half containment of the distinct title words."""
     x, y = (F.array_distinct(F.filter(F.split(normalised_title(t), " "), lambda w: ~w.isin(TITLE_STOPWORDS) & (w != ""))) for t in (a, b))
+    return word_similarity(x, y)
+
+
+def word_similarity(x: Column, y: Column) -> Column:
+    """Half Jaccard, half containment of two lists of distinct words."""
     common = F.size(F.array_intersect(x, y))
     least, union = F.least(F.size(x), F.size(y)), F.size(F.array_union(x, y))
     return F.when(least > 0, 0.5 * common / union + 0.5 * common / least).otherwise(0.0)
@@ -135,9 +140,18 @@ def surname(name: Column) -> Column:
     return F.when(name.contains(","), normalised_title(F.split(name, ",")[0])).otherwise(normalised_title(F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))))
 
 
+def surnames(authors: Column) -> Column:
+    """The distinct surnames of a list of names."""
+    return F.array_distinct(F.filter(F.transform(authors, surname), lambda s: s != ""))
+
+
 def author_overlap(a: Column, b: Column) -> Column:
     """Share of the shorter list whose surnames stand in the other; null if either is unknown."""
-    x, y = (F.array_distinct(F.filter(F.transform(c, surname), lambda s: s != "")) for c in (a, b))
+    return name_overlap(surnames(a), surnames(b))
+
+
+def name_overlap(x: Column, y: Column) -> Column:
+    """Share of the shorter list of distinct surnames that stand in the other; null if either is unknown."""
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least)
 

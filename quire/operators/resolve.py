@@ -6,17 +6,20 @@ import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import columns as C
-from quire.session import landed
+from quire.session import dropped, landed
 
 # Title and author thresholds of a judgement, years of slack.
 ACCEPT, REVIEW, AUTHOR, ALONE, SLACK = 0.90, 0.72, 0.34, 0.95, 2
 #: Word similarity from which titles are compared; letters of a start that is enough besides.
 WORDS, BLOCK = 0.5, 24
+#: Words of a title up to which it is met by pairs of its words; a longer one is met by each word.
+PAIRED = 24
 
 
 def dedupe_groups(bib: DataFrame) -> DataFrame:
@@ -31,81 +34,157 @@ def dedupe_groups(bib: DataFrame) -> DataFrame:
     return bib.groupBy(k.alias("key")).agg(F.count("*").alias("n"), F.min("entry_id").alias("first"))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_keys(w: np.ndarray, share: float, short: bool) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(words in the key, hashes by title, place of the key's last word) of titles with equally many words, the rows of ``w``.
+
+    Of c >= ceil(share l) common words the two rarest stand among the first l - c + 1 and l - c + 2 of the ``short`` title,
+    and anywhere in the other one; where one is enough, one makes the key. A title of more than ``PAIRED`` words
+    has no pairs of them, and meets every first word."""
+    l = w.shape[1]
+    h = _mixed(w)
+    single = lambda kind, i: _mixed(h[:, i] + np.uint64(kind))
+    c = math.ceil(share * l)
+    if l > PAIRED or short:
+        for i in range(l - c + 1 if short else l):
+            yield 3, single(3, i), i
+    if l > PAIRED:
+        return
+    if not short or c == 1:
+        for i in range(l):
+            yield 1, single(1, i), i
+    if not short or c > 1:
+        for i in range(l - c + 1 if short else l):
+            for j in range(i + 1, min(l, l - c + 2) if short else l):
+                yield 2, _mixed(h[:, i] * np.uint64(0x9E3779B97F4A7C15) + h[:, j]), j
+
+
 def _word_pairs(e: DataFrame, r: DataFrame, least: float = WORDS) -> DataFrame:
-    """(e_t, r_t) of all titles whose word similarity is at least ``least``, none left out: c common words of
+    """(e_i, r_i) of all titles (i, w) whose word similarity is at least ``least``, none left out: c common words of
     titles of l <= m words score c / 2 (1 / (l + m - c) + 1 / l), most for l = m, so that c >= x l for the x at
-    which that is ``least``, and one of the l - c + 1 rarest words of the shorter title is common. A pair is kept
-    at its rarest common word alone."""
+    which that is ``least``. Titles meet by their two rarest common words (one if one is enough); words that
+    stand in one of the titles alone, as the bits of 64 tell, leave few pairs whose words are compared."""
     share = (3 + 2 * least - math.sqrt((3 + 2 * least) ** 2 - 16 * least)) / 2 - 1e-9
     n = e.select(F.explode("w").alias("x")).unionAll(r.select(F.explode("w").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
 
     def ranked(df: DataFrame) -> DataFrame:
-        x = df.select("t", F.explode("w").alias("x")).join(n, "x").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("w"))
-        return landed(x.select("t", F.col("w.x").alias("w"), F.size("w").alias("l")), "title-words")
+        x = df.select("i", F.explode("w").alias("x")).join(n, "x").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("w"))
+        return landed(x.select("i", F.transform("w.x", lambda x: F.xxhash64(x)).alias("w")), "title-words")
+
+    def keys(df: DataFrame, short: bool, side: str) -> DataFrame:
+        def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                sizes = pdf["w"].map(len).to_numpy()
+                ids = pdf["i"].to_numpy(np.int64)
+                for l in np.unique(sizes):
+                    at = np.flatnonzero(sizes == l)
+                    w = np.stack(pdf["w"].to_numpy()[at]).astype(np.int64).view(np.uint64)
+                    bits = np.bitwise_or.reduce(np.uint64(1) << (_mixed(w) & np.uint64(63)), 1)
+                    made = list(_word_keys(w, share, short))
+                    places = np.repeat(np.array([int(l) << 32 | kind << 28 | j for kind, _, j in made], np.int64), len(at))
+                    yield pd.DataFrame({"h": (np.concatenate([h for _, h, _ in made]) >> np.uint64(32)).astype(np.uint32).view(np.int32), "i": np.tile(ids[at], len(made)), "at": places, "bits": np.tile(bits.view(np.int64), len(made))})
+
+        return df.mapInPandas(op, "h int, i long, at long, bits long").select("h", F.col("i").alias(f"{side}_i"), F.col("at").alias(f"{side}_at"), F.col("bits").alias(f"{side}_bits"))
 
     def met(short: DataFrame, long: DataFrame, more: int) -> DataFrame:
-        s = short.select(F.col("t").alias("s_t"), F.col("w").alias("s_w"), F.col("l").alias("s_l"), F.posexplode(F.slice("w", F.lit(1), F.col("l") - F.ceil(share * F.col("l")).cast("int") + 1)).alias("s_i", "x"))
-        g = long.select(F.col("t").alias("g_t"), F.col("w").alias("g_w"), F.col("l").alias("g_l"), F.posexplode("w").alias("g_i", "x"))
-        score = lambda c: 0.5 * c / (F.col("s_l") + F.col("g_l") - c) + 0.5 * c / F.col("s_l")
-        most, common = F.least(F.col("s_l") - F.col("s_i"), F.col("g_l") - F.col("g_i")), F.array_intersect("s_w", "g_w")
-        return s.join(g, "x").filter((F.col("s_l") + more <= F.col("g_l")) & (score(most) >= least - 1e-9)).filter((common[0] == F.col("x")) & (score(F.size(common)) >= least - 1e-9))
+        of = lambda side: (F.shiftright(f"{side}_at", 32), F.col(f"{side}_at").bitwiseAND((1 << 28) - 1))
+        kind = F.shiftright("s_at", 28).bitwiseAND(15)
+        (s_l, s_j), (g_l, g_j) = of("s"), of("g")
+        score = lambda c: 0.5 * c / (s_l + g_l - c) + 0.5 * c / s_l
+        alone = lambda x, y: F.bit_count(F.col(f"{x}_bits").bitwiseAND(F.bitwise_not(f"{y}_bits")))
+        behind = F.least(s_l - s_j, g_l - g_j) - 1 + F.when(kind == 2, 2).otherwise(1)
+        common = F.least(behind, s_l - alone("s", "g"), g_l - alone("g", "s"))
+        both = keys(short, True, "s").hint("merge").join(keys(long, False, "g"), "h")
+        return both.filter((s_l + more <= g_l) & (score(common) >= least - 1e-9)).select("s_i", "g_i")
+
+    ew, rw = ranked(e), ranked(r)
+    pairs = met(ew, rw, 0).select(F.col("s_i").alias("e_i"), F.col("g_i").alias("r_i")).unionAll(met(rw, ew, 1).select(F.col("g_i").alias("e_i"), F.col("s_i").alias("r_i"))).distinct()
+    pairs = dropped(landed(pairs, "word-pairs"))
+    return _scored_titles(pairs, e, r).filter(F.col("score") >= least - 1e-9).select("e_i", "r_i")
 
-    e, r = ranked(e), ranked(r)
-    return met(e, r, 0).select(F.col("s_t").alias("e_t"), F.col("g_t").alias("r_t")).unionAll(met(r, e, 1).select(F.col("g_t").alias("e_t"), F.col("s_t").alias("r_t")))
+
+def _scored_titles(pairs: DataFrame, e: DataFrame, r: DataFrame) -> DataFrame:
+    """The pairs (e_i, r_i) of titles with their word similarity."""
+    both = pairs.join(e.select(F.col("i").alias("e_i"), F.col("w").alias("e_w")), "e_i").join(r.select(F.col("i").alias("r_i"), F.col("w").alias("r_w")), "r_i")
+    return both.select("e_i", "r_i", C.word_similarity(F.col("e_w"), F.col("r_w")).alias("score"))
 
 
 def _change_pairs(e: DataFrame, r: DataFrame) -> DataFrame:
-    """(e_t, r_t) of all titles whose compact forms are equal or one letter apart: one change
+    """(e_i, r_i) of all titles (i, k) whose compact forms are equal or one letter apart: one change
     leaves the first or the last half of the shorter form as it is."""
 
     def keys(df: DataFrame, side: str) -> DataFrame:
         size = F.length("k")
-        x = df.select(F.col("t").alias(f"{side}_t"), F.col("k").alias(f"{side}_k"), "k", F.explode(F.array(size, size - 1)).alias("n")).withColumn("h", F.floor(F.col("n") / 2).cast("int"))
+        x = df.select(F.col("i").alias(f"{side}_i"), F.col("k").alias(f"{side}_k"), "k", F.explode(F.array(size, size - 1)).alias("n")).withColumn("h", F.floor(F.col("n") / 2).cast("int"))
         half = F.array(F.struct(F.lit(0).alias("end"), F.expr("left(k, h)").alias("part")), F.struct(F.lit(1).alias("end"), F.expr("right(k, n - h)").alias("part")))
-        return x.select(f"{side}_t", f"{side}_k", "n", F.explode(half).alias("at")).select(f"{side}_t", f"{side}_k", "n", "at.*")
+        return x.select(f"{side}_i", f"{side}_k", "n", F.explode(half).alias("at")).select(f"{side}_i", f"{side}_k", "n", "at.*")
 
-    return keys(e, "e").join(keys(r, "r"), ["n", "end", "part"]).filter(F.levenshtein("e_k", "r_k", 1) >= 0).select("e_t", "r_t")
+    return keys(e, "e").join(keys(r, "r"), ["n", "end", "part"]).filter(F.levenshtein("e_k", "r_k", 1) >= 0).select("e_i", "r_i")
 
 
-def candidate_pairs(bib: DataFrame, records: DataFrame, least: float = WORDS) -> DataFrame:
+class Candidates:
     """Entries and records to compare: word similarity of the titles of at least WORDS, compact titles at most
     one change apart or of one long start, or one DOI. Word similarity is 0 for titles without Latin letters
-    or digits: these meet by DOI alone. Titles are matched once however many rows have them.
-
-    With ``least`` above WORDS only the pairs of that word similarity are asked for, however they come to be candidates."""
-    whole = lambda df, key, doi: landed(df.filter("title IS NOT NULL").select(key, "title", "authors", "year", C.normalised_title(F.col("title")).alias("t"), doi.alias("dois")), key)
-    e = whole(bib, "entry_id", F.array(C.normalised_doi(F.col("doi"))))
-    r = whole(records, "record_id", F.array(C.normalised_doi(F.col("doi")), C.normalised_doi(F.col("published_doi"))))
-
-    def titles(df: DataFrame) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(C.title_key(F.col("t")), " "), lambda w: w != ""))
-        return df.filter("t <> ''").select("t").distinct().select("t", words.alias("w"), F.regexp_replace("t", " ", "").alias("k"))
-
-    et, rt = titles(e), titles(r)
-    if least > WORDS:
-        return _named(e, r, _of_titles(e, r, _word_pairs(et, rt, least)))
-    start = lambda df, side: df.filter(F.length("k") >= BLOCK).select(F.col("t").alias(f"{side}_t"), F.substring("k", 1, BLOCK).alias("b"))
-    pairs = _word_pairs(et, rt).unionAll(_change_pairs(et, rt)).unionAll(start(et, "e").join(start(rt, "r"), "b").select("e_t", "r_t")).distinct()
-    by_title = _of_titles(e, r, pairs)
-    by_doi = e.select("entry_id", F.explode("dois").alias("doi")).join(r.select("record_id", F.explode("dois").alias("doi")), "doi").select("entry_id", "record_id")
-    return _named(e, r, by_title.unionAll(by_doi).distinct())
-
-
-def _of_titles(e: DataFrame, r: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(entry_id, record_id) of the rows that have two titles."""
-    return pairs.join(e.select("entry_id", F.col("t").alias("e_t")), "e_t").join(r.select("record_id", F.col("t").alias("r_t")), "r_t").select("entry_id", "record_id")
-
-
-def _named(e: DataFrame, r: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pairs with the fields of both rows."""
-    named = lambda df, key, side: df.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("title", "authors", "year")])
-    return ids.join(named(e, "entry_id", "e"), "entry_id").join(named(r, "record_id", "r"), "record_id")
-
-
-def scored_candidates(bib: DataFrame, records: DataFrame, least: float = WORDS) -> DataFrame:
+    or digits: these meet by DOI alone. Titles are matched, by numbers, and scored once however many rows have them.
+
+    With ``least`` only the pairs of that word similarity are asked for, however they come to be candidates."""
+
+    def __init__(self, bib: DataFrame, records: DataFrame, least: float | None = None) -> None:
+        title = C.normalised_title(F.col("title")).alias("t")
+        whole = lambda df, key, doi: landed(df.filter("title IS NOT NULL").select(key, "title", "authors", "year", C.surnames(F.col("authors")).alias("names"), title, doi.alias("dois")), key)
+        e = whole(bib, "entry_id", F.array(C.normalised_doi(F.col("doi"))))
+        r = whole(records, "record_id", F.array(C.normalised_doi(F.col("doi")), C.normalised_doi(F.col("published_doi"))))
+
+        def titles(df: DataFrame) -> DataFrame:
+            words = F.array_distinct(F.filter(F.split(C.title_key(F.col("t")), " "), lambda w: w != ""))
+            return landed(df.filter("t <> ''").select("t").distinct().select(F.monotonically_increasing_id().alias("i"), "t", words.alias("w"), F.regexp_replace("t", " ", "").alias("k")), "titles")
+
+        self.et, self.rt = titles(e), titles(r)
+        self.e, self.r = e.join(self.et.select("t", F.col("i").alias("e_i")), "t", "left"), r.join(self.rt.select("t", F.col("i").alias("r_i")), "t", "left")
+        self.by_doi: DataFrame | None = None
+        pairs = _word_pairs(self.et, self.rt, least or WORDS)
+        if least is None:
+            start = lambda df, side: df.filter(F.length("k") >= BLOCK).select(F.col("i").alias(f"{side}_i"), F.substring("k", 1, BLOCK).alias("b"))
+            pairs = pairs.unionAll(_change_pairs(self.et, self.rt)).unionAll(start(self.et, "e").join(start(self.rt, "r"), "b").select("e_i", "r_i")).distinct()
+            self.pairs = dropped(landed(_scored_titles(pairs, self.et, self.rt), "title-pairs"))
+            dois = lambda df, *c: df.select(*c, F.explode("dois").alias("doi"))
+            both = dois(self.e, "entry_id", "e_i", F.col("t").alias("e_t")).join(dois(self.r, "record_id", "r_i", F.col("t").alias("r_t")), "doi")
+            # one DOI, and titles that are no candidates
+            self.by_doi = both.drop("doi").distinct().join(self.pairs, ["e_i", "r_i"], "left_anti")
+        else:
+            self.pairs = dropped(landed(_scored_titles(pairs, self.et, self.rt), "title-pairs"))
+
+    def rows(self, *fields: str) -> DataFrame:
+        """(entry_id, record_id, score) of the pairs with ``fields`` of both rows."""
+        of = lambda df, key, side: df.select(key, f"{side}_i", *[F.col(c).alias(f"{side}_{c}") for c in fields])
+        e, r = of(self.e, "entry_id", "e"), of(self.r, "record_id", "r")
+        out = self.pairs.join(e, "e_i").join(r, "r_i").drop("e_i", "r_i")
+        if self.by_doi is not None:
+            score = C.token_similarity(F.col("e_t"), F.col("r_t")).alias("score")
+            doi = self.by_doi.select("entry_id", "record_id", score)
+            out = out.unionByName(doi.join(e.drop("e_i"), "entry_id").join(r.drop("r_i"), "record_id"))
+        return out
+
+    def titles(self) -> DataFrame:
+        """(left_title, right_title) of the pairs' normalised titles."""
+        of = lambda df, side, name: df.select(F.col("i").alias(f"{side}_i"), F.col("t").alias(name))
+        out = self.pairs.join(of(self.et, "e", "left_title"), "e_i").join(of(self.rt, "r", "right_title"), "r_i").select("left_title", "right_title")
+        return out if self.by_doi is None else out.unionAll(self.by_doi.select("e_t", "r_t").distinct())
+
+
+def candidate_pairs(bib: DataFrame, records: DataFrame, least: float | None = None) -> DataFrame:
+    """(entry_id, record_id) of the candidates, with the titles, authors and years of both rows."""
+    return Candidates(bib, records, least).rows("title", "authors", "year").drop("score")
+
+
+def scored_candidates(bib: DataFrame, records: DataFrame, least: float | None = None) -> DataFrame:
     """(entry_id, record_id, e_year, r_year, score, authors): word similarity of the titles and author overlap (null: unknown)."""
-    p = candidate_pairs(bib, records, least)
-    return p.select("entry_id", "record_id", "e_year", "r_year", C.token_similarity(F.col("e_title"), F.col("r_title")).alias("score"), C.author_overlap(F.col("e_authors"), F.col("r_authors")).alias("authors"))
+    p = Candidates(bib, records, least).rows("names", "year")
+    return p.select("entry_id", "record_id", "e_year", "r_year", "score", C.name_overlap(F.col("e_names"), F.col("r_names")).alias("authors"))
 
 
 def judged(scored: DataFrame) -> DataFrame:
@@ -148,17 +227,20 @@ def similarity(a: str, b: str) -> float:
         return 0.0
     if a == b:
         return 1.0
-    ratio = SequenceMatcher(None, a, b).ratio()
+    match = SequenceMatcher(None, a, b)
     x, y = ({w for w in t.split() if w not in C.TITLE_STOPWORDS} for t in (a, b))
     if not x or not y:
-        return ratio
+        return match.ratio()
     common = len(x & y)
-    return max(ratio, 0.5 * common / len(x | y) + 0.5 * common / min(len(x), len(y)))
+    own = 0.5 * common / len(x | y) + 0.5 * common / min(len(x), len(y))
+    # a bound of the ratio tells where the words decide
+    return own if match.quick_ratio() <= own else max(match.ratio(), own)
 
 
 def title_similarities(bib: DataFrame, records: DataFrame) -> DataFrame:
     """(left_title, right_title, similarity) of the distinct candidate title pairs."""
-    p = candidate_pairs(bib, records).select(C.normalised_title(F.col("e_title")).alias("left_title"), C.normalised_title(F.col("r_title")).alias("right_title")).distinct()
+    p = Candidates(bib, records).titles()
+    p = p.repartition(4 * int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # heavy for its bytes
 
     def op(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

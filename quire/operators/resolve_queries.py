@@ -150,7 +150,8 @@ _JUDGE = "CASE WHEN score < 0.72 THEN 'reject' WHEN abs(ey - ry) > 2 THEN 'revie
 
 @add("candidate_judging", f"SELECT entry_id, record_id, round(score, 6) AS score, round(coalesce(authors, -1.0), 6) AS author_score, {_JUDGE} AS outcome FROM {_SCORED} WHERE score >= 0.5")
 def candidate_judging(spark: SparkSession, d: str) -> DataFrame:
-    return R.judged(R.scored_candidates(_bib(spark, d), _records(spark, d))).filter("score >= 0.5")
+    # below that word similarity no pair is listed, however it came to be a candidate
+    return R.judged(R.scored_candidates(_bib(spark, d), _records(spark, d), R.WORDS)).filter("score >= 0.5")
 
 
 @add(

@@ -150,3 +150,31 @@ def test_glyph_run_fallback_takes_all_pages(spark, tmp_path):
     spark.createDataFrame(lines, "doc_id long, page int").write.parquet(f"{tmp_path}/page_lines.parquet")
     got = {tuple(r) for r in QUERIES["glyph_run_fallback"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1, 1), (1, 3, 2), (1, 4, 2), (1, 5, 1), (2, 9, 1), (3, 7, 1)}
+
+
+def test_word_pairs_equal_brute_force(spark):
+    """Titles of few, many and very many words meet by pairs of rare words; no pair of the word similarity is left out."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    title = lambda n: rng.sample(words, n)
+    cited = [title(rng.choice([1, 2, 3, 4, 5, 7, 9, 23, 24, 25, 30, 40])) for _ in range(150)]
+    known = [title(rng.choice([1, 2, 3, 4, 5, 7, 9, 23, 24, 25, 30, 40])) for _ in range(100)] + [w[1:] + ["new"] for w in cited[:50]]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "i long, w array<string>")
+
+    def score(x, y):
+        c = len(set(x) & set(y))
+        return 0.5 * c / len(set(x) | set(y)) + 0.5 * c / min(len(x), len(y))
+
+    for least in (0.5, 0.72):
+        got = [tuple(x) for x in R._word_pairs(frame(cited), frame(known), least).collect()]
+        want = {(i, j) for i, x in enumerate(cited) for j, y in enumerate(known) if score(x, y) >= least - 1e-9}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_rare_word_pairs_leave_few_candidates():
+    """A short title makes pairs of its rarest words, so that titles which share one word alone never meet."""
+    import numpy as np
+
+    w = np.arange(1, 9, dtype=np.uint64)[None]
+    kinds = [k for k, *_ in R._word_keys(w, 0.585, True)]
+    assert kinds.count(2) == 10 and kinds.count(1) == 0 and [k for k, *_ in R._word_keys(w, 0.585, False)].count(2) == 28
