@@ -160,7 +160,7 @@ def candidate_judging(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT entry_id, record_id, round(score, 6) AS score, round(coalesce(authors, -1.0), 6) AS author_score, {_JUDGE} AS outcome FROM {_SCORED})) WHERE n = 1""",
 )
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
-    return R.best(R.judged(R.scored_candidates(_bib(spark, d), _records(spark, d)))).select("entry_id", "record_id", "outcome", "score")
+    return R.best_candidates(_bib(spark, d), _records(spark, d)).select("entry_id", "record_id", "outcome", "score")
 
 
 @add(

@@ -178,3 +178,13 @@ def test_rare_word_pairs_leave_few_candidates():
     w = np.arange(1, 9, dtype=np.uint64)[None]
     kinds = [k for k, *_ in R._word_keys(w, 0.585, True)]
     assert kinds.count(2) == 10 and kinds.count(1) == 0 and [k for k, *_ in R._word_keys(w, 0.585, False)].count(2) == 28
+
+
+def test_best_candidates_are_those_of_all_candidates(spark):
+    e = [("e1", "deep parsing of long texts", ["Doe"], 2010, None), ("e2", "shallow parsing of speech", ["Roe"], 2010, None), ("e3", "graphs", None, None, "10.1/a"), ("e4", "neural tagging models data", None, 2001, None)]
+    r = [("r1", "deep parsing of long texts", ["Doe"], 2010, None, None), ("r2", "deep parsing of texts", ["Doe"], 2010, None, None), ("r3", "shallow speech", None, None, None, None), ("r4", "tables", None, None, "10.1/a", None), ("r5", "tagging data", ["Poe"], 2001, None, None), ("r6", "parsing speech data", ["Roe"], 2010, None, None)]
+    e = spark.createDataFrame(e, "entry_id string, title string, authors array<string>, year int, doi string")
+    r = spark.createDataFrame(r, "record_id string, title string, authors array<string>, year int, doi string, published_doi string")
+    got = {tuple(x) for x in R.best_candidates(e, r).collect()}
+    assert got == {tuple(x) for x in R.best(R.judged(R.scored_candidates(e, r))).collect()}
+    assert {x[0] for x in got} == {"e1", "e2", "e3", "e4"} and ("e3", "r4") in {x[:2] for x in got}
