@@ -27,8 +27,9 @@ repeated in one record only isn't shared; a repeated row of a record is the
 same record; keys are 64-bit integers, a null key is no record; other columns
 are ignored.  A run of a period under ``GRAM`` (a ruled line) is
 fingerprinted at its first two and last two places, which finds every pair of
-records; of such a run that is longer than the other record's, shares and
-stretches still leave out the middle.
+records: what another record shares with a run stands at its start too, a
+number of periods before.  Shares and stretches take in all of the run that
+stands a number of periods from what was found.
 """
 
 from __future__ import annotations
@@ -265,8 +266,34 @@ def _members(df: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame,
         seed += 1
 
 
-def _contexts(occurrences: DataFrame, members: DataFrame, texts: DataFrame, least: int, gram: int) -> DataFrame:
-    """(fp, key, pos, start, ctx): the code points that matter around each occurrence, ``key`` the digest."""
+def _run(text: str, first: int, second: int, gram: int) -> tuple[int, int, int]:
+    """(start, end, period) of the run of the period ``second - first`` in which the windows at both places lie; zeros if they aren't equal."""
+    period = second - first
+    c = points(text)
+    same = c[:-period] == c[period:]
+    if not same[first : first + gram].all():
+        return 0, 0, 0
+    before, after = np.flatnonzero(~same[:first]), np.flatnonzero(~same[first:])
+    start = int(before[-1]) + 1 if len(before) else 0
+    return start, (first + int(after[0]) if len(after) else len(same)) + period, period
+
+
+def _runs(text: str, fps: list[int], places: list[int], gram: int) -> list[tuple[int, int, int]]:
+    """The run of a period under ``gram`` in which each occurrence lies, zeros for none."""
+    out = [(0, 0, 0)] * len(places)
+    order = sorted(range(len(places)), key=lambda i: (fps[i], places[i]))
+    for i, j in zip(order, order[1:], strict=False):
+        if fps[i] == fps[j] and places[j] - places[i] < gram:
+            run = out[i] if out[i][2] == places[j] - places[i] else _run(text, places[i], places[j], gram)
+            if run[2]:
+                out[i] = out[i] if out[i][2] else run
+                out[j] = run
+    return out
+
+
+def _contexts(occurrences: DataFrame, members: DataFrame, texts: DataFrame, least: int, gram: int, intervals: bool) -> DataFrame:
+    """(fp, key, pos, start, ctx): the code points that matter around each occurrence, ``key`` the digest; for ``intervals``
+    the run (lo, hi, period) too in which it lies."""
     side = least - gram
     lists = occurrences.groupBy(F.col("key").alias("dig")).agg(F.collect_set(F.struct("fp", "pos")).alias("at"))
     first = members.groupBy("dig").agg(F.min("key").alias("key"))
@@ -279,12 +306,20 @@ def _contexts(occurrences: DataFrame, members: DataFrame, texts: DataFrame, leas
                 t, ps = text.as_py(), places.as_py()
                 starts = [max(p - side - 1, 0) for p in ps]
                 cut = [t[s : p + gram + side] for s, p in zip(starts, ps, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [fps.values, pa.array([dig.as_py()] * len(ps), pa.int64()), pa.array(ps, pa.int32()), pa.array(starts, pa.int32()), pa.array(cut, pa.string())],
-                    ["fp", "key", "pos", "start", "ctx"],
-                )
+                out = [fps.values, pa.array([dig.as_py()] * len(ps), pa.int64()), pa.array(ps, pa.int32()), pa.array(starts, pa.int32()), pa.array(cut, pa.string())]
+                if intervals:
+                    out += [pa.array(x, pa.int32()) for x in zip(*_runs(t, fps.as_py(), ps, gram), strict=True)]
+                yield pa.RecordBatch.from_arrays(out, ["fp", "key", "pos", "start", "ctx", *(["lo", "hi", "period"] if intervals else [])])
+
+    return ready.mapInArrow(op, "fp long, key long, pos int, start int, ctx string" + (", lo int, hi int, period int" if intervals else ""))
+
 
-    return ready.mapInArrow(op, "fp long, key long, pos int, start int, ctx string")
+def _widened(start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray, period: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches with all that repeats their part of a run (lo, hi) by its period: ``least`` of it stand there as often as it fits."""
+    a, b, p = np.maximum(start, lo), np.minimum(end, hi), np.maximum(period, 1)
+    inside = (period > 0) & (b - a >= least)
+    left, right = a - (a - lo) // p * p, b + (hi - b) // p * p
+    return np.where(inside, np.minimum(start, left), start), np.where(inside, np.maximum(end, right), end)
 
 
 def _blocks(ctx: DataFrame) -> DataFrame:
@@ -331,7 +366,9 @@ def _verify(least: int, gram: int, intervals: bool):
             if intervals:
                 if len(rest):
                     pos = fp["pos"].to_numpy(np.int64)
-                    out.append((np.append(key[rest], key[i]), np.append(pos[rest] - np.minimum(le, side), pos[i] - min(side, le.max())), np.append(pos[rest] + gram + ri, pos[i] + gram + ri.max())))
+                    start, end = np.append(pos[rest] - np.minimum(le, side), pos[i] - min(side, le.max())), np.append(pos[rest] + gram + ri, pos[i] + gram + ri.max())
+                    both = np.append(rest, i)
+                    out.append((key[both], *_widened(start, end, *(fp[c].to_numpy(np.int64)[both] for c in ("lo", "hi", "period")), least)))
             else:
                 first = le <= side  # further right in a stretch, the hashes before it tell of the pair
                 rest = rest[first]
@@ -378,7 +415,7 @@ def _checked(df: DataFrame, key: str, text: str, batches: int, least: int, gram:
         shared = found if shared is None else shared.unionByName(found)
     index.close()
     assert shared is not None
-    ctx = _blocks(_contexts(shared, members, texts, least, gram))
+    ctx = _blocks(_contexts(shared, members, texts, least, gram, intervals))
     ready = ctx.repartition("fp", "bi", "bj").sortWithinPartitions("fp", "bi", "bj")
     schema = "key long, start long, end long" if intervals else "doc_id_a long, doc_id_b long"
     return ready.mapInPandas(_verify(least, gram, intervals), schema).distinct(), members

@@ -107,3 +107,22 @@ def test_runs_of_a_period_meet_at_every_phase(spark):
         rows += [(2 * i, (pattern * 400)[start : start + 200]), (2 * i + 1, (pattern * 400)[:300])]
     got = {tuple(r) for r in pairs(spark.createDataFrame(rows, "doc_id long, text string"), batches=1).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(10)}
+
+
+def test_stretches_of_runs_are_whole(spark):
+    """All of a long run that a shorter one elsewhere repeats is shared, at the phases that the other shows only."""
+    rng = random.Random(7)
+    rows = []
+    for i, (period, m, n) in enumerate([(1, 900, 260), (3, 1200, 201), (51, 900, 210), (60, 700, 230), (99, 1500, 320), (2, 230, 205)]):
+        pattern = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(period))
+        at, to = rng.randrange(period), rng.randrange(period)
+        rows += [(2 * i, f"{i}" * 3 + (pattern * 2000)[at : at + m] + "a" * (i % 2)), (2 * i + 1, (pattern * 2000)[to : to + n] + "b")]
+    rows += [(50, "x" + rows[0][1][3:250] + "y" * 130 + "z"), (51, rows[3][1][20:150] + "w" * 400)]
+    texts = dict(rows)
+    grams = {k: [t[j : j + 200] for j in range(len(t) - 199)] for k, t in texts.items()}
+    want = {}
+    for k, own in grams.items():
+        others = {g for o, gs in grams.items() if o != k for g in gs}
+        want[k] = len({x for j, g in enumerate(own) if g in others for x in range(j, j + 200)})
+    found = {r.doc_id: r.shared_chars for r in shares(spark.createDataFrame(rows, "doc_id long, text string"), batches=2).collect()}
+    assert found == want and want[0] == 900
