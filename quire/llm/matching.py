@@ -5,10 +5,9 @@ title, end of the title, first author with the title's head, with the year, with
 the pages).  The distinct values of a key are sorted; rows of equal values meet,
 and rows of title values that stand within ``WINDOW`` places and differ by
 little.  Sliding over distinct values, not over rows, keeps a hot work (a third
-of all rows) from pushing its neighbours out of the window.  A value under which
-more than ``BLOCK`` records stand (a stock title, a common name and year) is no
-block of its own: its rows are sorted further, by names, years and titles, and
-meet the records within ``WIDE`` places of that order.
+of all rows) from pushing its neighbours out of the window.  All rows of a value
+meet; one under which more than ``BLOCK`` records stand (a stock title, a common
+name and year) is dealt to several tasks.
 
 Comparison: title, authors, year, venue and pages give weighted similarities
 and their sum the confidence; what a citation lacks in fields is read from its
@@ -48,8 +47,8 @@ from quire.llm.names_text import compact, folded, words
 from quire.session import landed
 
 WINDOW, NEAR, ACCEPT = 4, 2, 0.6
-#: Records of one key value that meet all its rows; beyond, those within ``WIDE`` places of a finer order do.
-BLOCK, WIDE = 64, 16
+#: Records of one key value that one task has at most, more or less; all of them meet all rows of the value.
+BLOCK = 64
 # The weights of title, authors, year, venue and pages in a confidence.
 WEIGHTS = (0.45, 0.25, 0.1, 0.1, 0.1)
 #: Letters of a title's start and end that make a sort key.
@@ -469,17 +468,15 @@ def _close(a: str, b: str, near: int) -> bool:
     return (near > 2 or len(x) < 7 or x[2:-2] in y) and distance(x, y, near) <= near
 
 
-def neighbours(values: DataFrame, window: int = WINDOW, near: int | None = NEAR, block: bool = False) -> DataFrame:
+def neighbours(values: DataFrame, window: int = WINDOW, near: int | None = NEAR) -> DataFrame:
     """(a, b): the pairs of different values (columns ``k``, and ``r``: whether records have it) that
     stand within the window in sorted order, ``b`` one of records.  Pairs differ by ``near`` changes
-    at most (None: by any), or, with ``block``, have one block (what stands before a tab).
+    at most (None: by any).
 
     The window slides inside each range of the sorted values; the values at the
     ranges' edges then slide once more, all in one order (2 ``window`` values a range)."""
 
     def met(o: str, k: str) -> bool:
-        if block and o.partition("\t")[0] != k.partition("\t")[0]:
-            return False
         return near is None or _close(o, k, near)
 
     def ordered(o: str, ro: bool, k: str, rk: bool) -> list[tuple[str, str]]:
@@ -516,15 +513,12 @@ def neighbours(values: DataFrame, window: int = WINDOW, near: int | None = NEAR,
     return out.filter("part < 0").select("a", "b").unionByName(edges.mapInPandas(across, "a string, b string"))
 
 
-def _wide_blocks(left: DataFrame, right: DataFrame, lh: DataFrame, rh: DataFrame) -> DataFrame:
-    """(ia, ib) of rows (ia, h) and (ib, h) of crowded key values: those within ``WIDE`` places of a finer order of each value."""
-    first, years, title = (F.split("traits", "\t")[k] for k in (7, 2, 0))
-    finer = F.concat_ws("\t", F.hex("h"), F.concat_ws(" ", first, years, title)).alias("k")
-    lk = landed(lh.join(left.select(F.col("id").alias("ia"), "traits"), "ia").select("ia", finer), "crowded-left")
-    rk = landed(rh.join(right.select(F.col("id").alias("ib"), "traits"), "ib").select("ib", finer), "crowded-right")
-    near = neighbours(lk.select("k", F.lit(False).alias("r")).unionByName(rk.select("k", F.lit(True).alias("r"))), WIDE, None, True)
-    near = near.unionByName(rk.select(F.col("k").alias("a"), F.col("k").alias("b"))).distinct()
-    return lk.join(near.withColumnRenamed("a", "k"), "k").select("ia", F.col("b").alias("k")).join(rk, "k").select("ia", "ib")
+def _tiles(lh: DataFrame, rh: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(ia, ib): all rows (ia, h) and (ib, h) of one crowded key value (h, count), in tiles of about ``BLOCK`` records, so that no task has a whole value."""
+    of = crowded.select("h", F.ceil(F.col("count") / F.lit(BLOCK + 1)).cast("int").alias("m"))
+    right = rh.join(of, "h").select("ib", "h", F.pmod(F.xxhash64("ib"), F.col("m")).cast("int").alias("tile"))
+    left = lh.distinct().join(of, "h").select("ia", "h", F.explode(F.expr("sequence(0, m - 1)")).alias("tile"))
+    return left.join(right, ["h", "tile"]).select("ia", "ib")
 
 
 def candidates(left: DataFrame, right: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -532,14 +526,14 @@ def candidates(left: DataFrame, right: DataFrame, window: int = WINDOW) -> DataF
     near = neighbours(_slid(left).withColumn("r", F.lit(False)).unionByName(_slid(right).withColumn("r", F.lit(True))), window)
     near = near.select(F.xxhash64("a").alias("h"), F.xxhash64("b").alias("hb"))
     lh, rh = left.select(F.col("id").alias("ia"), F.explode("hs").alias("h")), right.select(F.col("id").alias("ib"), F.explode("hs").alias("h"))
-    crowded = landed(rh.groupBy("h").count().filter(F.col("count") > BLOCK).select("h"), "crowded")
+    crowded = landed(rh.groupBy("h").count().filter(F.col("count") > BLOCK), "crowded")
     some = not crowded.isEmpty()
     all_rh = rh
     if some:
-        rh = rh.join(crowded, "h", "left_anti")
+        rh = rh.join(crowded.select("h"), "h", "left_anti")
     beside = lh.join(near, "h").select("ia", F.col("hb").alias("h"))
     met = lh.join(rh, "h").select("ia", "ib").unionByName(beside.join(rh, "h").select("ia", "ib"))
-    return met.unionByName(_wide_blocks(left, right, lh.unionByName(beside).join(crowded, "h"), all_rh.join(crowded, "h"))) if some else met
+    return met.unionByName(_tiles(lh.unionByName(beside), all_rh, crowded)) if some else met
 
 
 def scored(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

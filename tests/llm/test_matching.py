@@ -148,3 +148,12 @@ def test_very_long_fields(spark):
     e = spark.createDataFrame([("e1", title + ". Jane Doe. 2012.", title, ["Jane Doe"] * 2_000, 2012, "TORCM", "3-9", None, "x")], E)
     r = spark.createDataFrame([("r1", title, ["Jane Doe"], 2012, [], "TORCM", "3-9", None, False, None, None, "w")], R)
     assert [tuple(x)[:2] for x in match(e, r).collect()] == [("e1", "r1")]
+
+
+def test_all_rows_of_a_crowded_value_meet(spark):
+    """Under one key value every citation meets every record, however far apart a finer order would set them."""
+    n = 150
+    left = spark.createDataFrame([(2 * i + 1, f"\t\t\t\t\t\t\t{i:03d}", [7]) for i in range(40)], "id long, traits string, hs array<long>")
+    right = spark.createDataFrame([(2 * i, f"\t\t\t\t\t\t\t{i:03d}", [7]) for i in range(n)], "id long, traits string, hs array<long>")
+    got = [tuple(x) for x in candidates(left, right).collect()]
+    assert len(got) == 40 * n and set(got) == {(2 * i + 1, 2 * j) for i in range(40) for j in range(n)}
