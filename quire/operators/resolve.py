@@ -104,7 +104,7 @@ def _word_pairs(e: DataFrame, r: DataFrame, least: float = WORDS) -> DataFrame:
     ew, rw = ranked(e), ranked(r)
     pairs = met(ew, rw, 0).select(F.col("s_i").alias("e_i"), F.col("g_i").alias("r_i")).unionAll(met(rw, ew, 1).select(F.col("g_i").alias("e_i"), F.col("s_i").alias("r_i"))).distinct()
     pairs = dropped(landed(pairs, "word-pairs"))
-    return _scored_titles(pairs, e, r).filter(F.col("score") >= least - 1e-9).select("e_i", "r_i")
+    return dropped(landed(_scored_titles(pairs, e, r).filter(F.col("score") >= least - 1e-9).select("e_i", "r_i"), "word-pairs"))
 
 
 def _scored_titles(pairs: DataFrame, e: DataFrame, r: DataFrame) -> DataFrame:
@@ -150,6 +150,7 @@ class Candidates:
         if least is None:
             start = lambda df, side: df.filter(F.length("k") >= BLOCK).select(F.col("i").alias(f"{side}_i"), F.substring("k", 1, BLOCK).alias("b"))
             pairs = pairs.unionAll(_change_pairs(self.et, self.rt)).unionAll(start(self.et, "e").join(start(self.rt, "r"), "b").select("e_i", "r_i")).distinct()
+            pairs = dropped(landed(pairs, "candidates"))
             self.pairs = dropped(landed(_scored_titles(pairs, self.et, self.rt), "title-pairs"))
             dois = lambda df, *c: df.select(*c, F.explode("dois").alias("doi"))
             both = dois(self.e, "entry_id", "e_i", F.col("t").alias("e_t")).join(dois(self.r, "record_id", "r_i", F.col("t").alias("r_t")), "doi")
