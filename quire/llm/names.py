@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,6 +40,8 @@ from quire.session import landed, scattered
 BOUND = 1
 #: Surnames beside which a word stands first before it counts as a usual given name.
 USUAL = 3
+#: A word one change from another beside so many times as many surnames is a misspelling of it, beside however many it stands.
+OFTEN = 10
 
 # Short forms of given names.
 NICKNAMES = {
@@ -49,11 +51,17 @@ NICKNAMES = {
     "ed": "edward", "fran": "francisco", "paco": "francisco", "fred": "frederick", "gabi": "gabriela", "greg": "gregory", "hannes": "johannes",
     "jen": "jennifer", "jenny": "jennifer", "jim": "james", "joe": "joseph", "jon": "jonathan", "josh": "joshua", "kate": "katherine", "kathy": "katherine",
     "katie": "katherine", "ken": "kenneth", "larry": "lawrence", "len": "leonard", "leo": "leonard", "lena": "helene", "liz": "elizabeth", "maggie": "margaret",
-    "matt": "matthew", "meg": "margaret", "mike": "michael", "misha": "mikhail", "nate": "nathaniel", "nick": "nicholas", "pat": "patricia", "pete": "peter",
+    "matt": "matthew", "meg": "margaret", "mike": "michael", "misha": "mikhail", "nate": "nathaniel", "nick": "nicholas", "pat": "patricia", "peggy": "margaret", "pete": "peter",
     "phil": "philip", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sasha": "alexander",
-    "steve": "stephen", "sue": "susan", "ted": "theodore", "tim": "timothy", "tom": "thomas", "tony": "anthony", "trish": "patricia", "vicky": "victoria",
+    "steve": "stephen", "sue": "susan", "ted": "theodore", "theo": "theodore", "tim": "timothy", "tom": "thomas", "tony": "anthony", "trish": "patricia", "vicky": "victoria",
     "vince": "vincent", "will": "william", "zach": "zachary",
 }
+# Further given names that a short form may stand for.
+ALSO = {
+    "al": ("alan", "alfred"), "alex": ("alexandra",), "chris": ("christina", "christine"), "dan": ("danilo",), "ed": ("edwin", "edmund"), "fran": ("frances",),
+    "jen": ("jenna",), "kate": ("catherine",), "kathy": ("catherine", "kathleen"), "lena": ("magdalena",), "leo": ("leonardo", "leopold"), "nick": ("nicolas",),
+    "pat": ("patrick",), "sam": ("samantha",), "sasha": ("alexandra",), "steve": ("steven",), "ted": ("edward",),
+}
 # Kinds of organisation and their short forms.
 KINDS = {
     "university": "university", "univ": "university", "institute": "institute", "inst": "institute", "laboratory": "laboratory", "lab": "laboratory",
@@ -66,7 +74,7 @@ _SUFFIX = {"jr", "sr", "ii", "iii", "iv", "phd", "dr", "prof", "mr", "mrs", "ms"
 _MARK = re.compile(r"\W*(?:et\.?\s*al|and\s+others|others|u\.?\s*a|etc)\.?\W*\Z", re.I)
 _SPACING = str.maketrans("", "", "´`¨^~¸ˆ˜˙˚")
 
-PARSED = "name string, n long, kind string, key string, first string, mids string, swapped boolean, sure boolean, turns array<string>"
+PARSED = "name string, n long, kind string, key string, first string, mids string, swapped boolean, sure boolean, turns array<string>, fields array<string>"
 
 
 def is_name(name: str | None) -> bool:
@@ -79,29 +87,49 @@ def _tokens(text: str) -> list[str]:
     return [t for t in (re.sub(r"[\W\d_]+", "", p) for p in re.split(r"[\s.]+", text)) if t]
 
 
-def parse(name: str) -> tuple[str, str, str, str]:
-    """(kind, key, first, mids): 'o' with its key, or 'p' with surname, first given name or initial, middle initials."""
+def _own(text: str) -> list[str]:
+    """The tokens of a person without titles and suffixes; two capitals beside a single word (Doe JR) are initials."""
+    toks = _tokens(text)
+    own = [t for t in toks if folded(t) not in _SUFFIX]
+    return own if len(own) != 1 else [t for t in toks if t in own or (len(t) == 2 and t.isupper())]
+
+
+def _spelled(name: str) -> str:
+    """A name in plain letters, its words still in their own case."""
     text = name.translate(_SPACING)
     if any("Ā" <= c or c in "\xa0\xad" for c in text):
         text = " ".join(folded(w).upper() if w.isupper() else folded(w).capitalize() if w[:1].isupper() else folded(w) for w in text.split())
+    return text
+
+
+def organisation(text: str) -> tuple[str, str, list[str]] | None:
+    """(own name, kind, words of its field) of an organisation; none of a person."""
     plain = [folded(t) for t in _tokens(text)]
-    if len(plain) >= 3 and any(t in KINDS for t in plain):
-        head, _, tail = text.rpartition(",")
-        own = [folded(t) for t in _tokens(tail)] if head else []
-        rest = [folded(t) for t in _tokens(head)] if head else plain
-        rest = [t for t in rest if t not in _SMALL]
-        if not own and rest:
-            own, rest = rest[:1], rest[1:]
-        kind = next((KINDS[t] for t in rest if t in KINDS), "")
-        field = [t[:3] for t in rest if t not in KINDS]
-        return "o", f"{''.join(own)} {kind} {' '.join(field)}", "", ""
+    if len(plain) < 3 or not any(t in KINDS for t in plain):
+        return None
+    head, _, tail = text.rpartition(",")
+    own = [folded(t) for t in _tokens(tail)] if head else []
+    rest = [folded(t) for t in _tokens(head)] if head else plain
+    rest = [t for t in rest if t not in _SMALL]
+    if not own and rest:
+        own, rest = rest[:1], rest[1:]
+    return "".join(own), next((KINDS[t] for t in rest if t in KINDS), ""), [t for t in rest if t not in KINDS]
+
+
+def parse(name: str) -> tuple[str, str, str, str]:
+    """(kind, key, first, mids): 'o' with its key, or 'p' with surname, first given name or initial, middle initials."""
+    text = _spelled(name)
+    found = organisation(text)
+    if found:
+        own, kind, field = found
+        return "o", f"{own} {kind} {' '.join(t[:3] for t in field)}", "", ""
     parts = [p for p in text.split(",") if _tokens(p) and folded(_tokens(p)[0]) not in _SUFFIX]
     if len(parts) >= 2:
         surname, given = _tokens(parts[0]), _tokens(parts[1])
         if all(_is_initials(t) for t in surname) and not any(_is_initials(t) for t in given):
             surname, given = given, surname
     else:
-        toks = [t for t in _tokens(text) if folded(t) not in _SUFFIX]
+        toks = _own(text)
         if len(toks) >= 2 and _is_initials(toks[-1]) and not _is_initials(toks[0]):
             k = len(toks)
             while k > 1 and _is_initials(toks[k - 1]):
@@ -286,15 +314,17 @@ def parsed(names: DataFrame) -> DataFrame:
                 if is_name(name):
                     kind, key, first, mids = parse(name)
                     if key:
-                        rows.append((name, n, kind, key, first, mids, kind == "p" and len(first) > 1 and not mids, _is_sure(name, kind), turns(name) if kind == "p" else []))
+                        is_person = kind == "p"
+                        rows.append((name, n, kind, key, first, mids, is_person and len(first) > 1 and not mids, _is_sure(name, kind), turns(name) if is_person else [], [] if is_person else organisation(_spelled(name))[2]))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in PARSED.split(", ")])
 
     read = landed(names.groupBy("name").agg(F.sum("n").alias("n")).mapInPandas(op, PARSED), "names")
-    read = _turned(read)
+    read = _turned(_mended(read))
     usual = read.filter("kind = 'p' AND length(first) > 1").groupBy(F.col("first").alias("w")).agg(F.countDistinct("key").alias("u"))
-    usual = usual.filter(F.col("u") >= USUAL)
-    a, b = usual.select(F.col("w").alias("first"), F.col("u").alias("as_first")), usual.select(F.col("w").alias("key"), F.col("u").alias("as_key"))
-    both = read.join(a, "first", "left").join(b, "key", "left")
+    usual = landed(usual.filter(F.col("u") >= USUAL), "names-usual")
+    usual = usual.join(_slips(usual), "w", "left")
+    columns = lambda c: usual.select(F.col("w").alias(c), F.col("u").alias(f"as_{c}"), F.when(F.col("right").isNotNull(), 0).otherwise(F.col("u")).alias(f"of_{c}"))
+    both = read.join(columns("first"), "first", "left").join(columns("key"), "key", "left")
     turn = F.col("swapped") & F.col("as_key").isNotNull() & F.col("as_first").isNull()
     return both.select(
         "name",
@@ -303,10 +333,34 @@ def parsed(names: DataFrame) -> DataFrame:
         F.when(turn, F.col("first")).otherwise(F.col("key")).alias("key"),
         F.when(turn, F.col("key")).otherwise(F.col("first")).alias("first"),
         "mids",
-        F.coalesce(F.when(turn, F.col("as_key")).otherwise(F.col("as_first")), F.lit(0)).alias("usual"),
+        F.coalesce(F.when(turn, F.col("of_key")).otherwise(F.col("of_first")), F.lit(0)).alias("usual"),
     )
 
 
+def _slips(usual: DataFrame) -> DataFrame:
+    """(w, right): the words (w, u) that are misspellings of a far more usual one. Misspellings stand beside more and more names as
+    the tables grow, but always beside a small share of those of the right word."""
+    near = trie_join(usual.select(F.col("w").alias("k")))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own, other = usual.select(F.col("w").alias("a"), F.col("u").alias("na")), usual.select(F.col("w").alias("b"), F.col("u").alias("nb"))
+    far = both.join(own, "a").join(other, "b").filter(F.col("nb") >= OFTEN * F.col("na"))
+    return far.groupBy(F.col("a").alias("w")).agg(F.max_by("b", F.struct("nb", "b")).alias("right"))
+
+
+def _mended(read: DataFrame) -> DataFrame:
+    """``read`` with the keys of organisations made of the right words of their fields, where these are misspelled in the letters that the key keeps."""
+    part = lambda i: F.split_part("key", F.lit(" "), F.lit(i))
+    named = read.filter("kind = 'o'")
+    words = named.select("name", part(1).alias("own"), F.posexplode("fields").alias("i", "w"))
+    usual = landed(words.groupBy("w").agg(F.countDistinct("own").alias("u")), "names-fields")
+    heads = words.join(_slips(usual), "w", "left").select("name", F.struct("i", F.substring(F.coalesce("right", "w"), 1, 3).alias("h")).alias("h"))
+    heads = heads.groupBy("name").agg(F.concat_ws(" ", F.array_sort(F.collect_list("h"))["h"]).alias("heads"))
+    key = F.when(F.col("heads").isNotNull(), F.concat_ws(" ", part(1), part(2), "heads")).otherwise(F.col("key"))
+    columns = [c for c in read.columns if c != "fields"]
+    mended = named.join(heads, "name", "left").withColumn("key", key)
+    return read.filter("kind = 'p'").select(columns).unionByName(mended.select(columns))
+
+
 def _turned(read: DataFrame) -> DataFrame:
     """``read`` with the persons of many words in the order whose surname is surest (a double one that other names show, else the one they have most often)."""
     sure = read.filter("sure").groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("n_sure"))
@@ -348,6 +402,13 @@ def _deleted(word: str) -> list[str]:
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
+def _in_full(given: str, others: Container[str]) -> str:
+    """The given name that a short form stands for: of several the first that stands in the family."""
+    if given not in NICKNAMES:
+        return given
+    return next((o for o in (NICKNAMES[given], *ALSO.get(given, ())) if o in others), NICKNAMES[given])
+
+
 def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """(name, entity, initial) of one family's strings (name, n, kind, key, first, mids, usual); ``initial`` where
     the string could be several persons, else null."""
@@ -361,7 +422,7 @@ def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(r.first) > 1:
             weight[r.first] += r.n
             usual[r.first] = max(usual.get(r.first, 0), r.usual)
-    plain = {g: NICKNAMES.get(g, g) for g in weight}
+    plain = {g: _in_full(g, weight) for g in weight}
     whole: Counter[str] = Counter()
     for g, w in weight.items():
         whole[plain[g]] += w

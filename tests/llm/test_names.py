@@ -104,6 +104,29 @@ def test_usual_given_names_lead(spark):
     assert got == set(itertools.combinations(sorted(["Dmittri Ravedor", "Ravedor, Dmittri", "Dmitri Ravedor"]), 2))
 
 
+def test_misspelled_given_names_are_told_by_their_share_of_the_surnames(spark):
+    """In larger tables a misspelling stands beside many surnames, yet beside few of those of the right name."""
+    rng = random.Random(3)
+    surnames = sorted({"".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(5)).capitalize() for _ in range(60)})
+    rows = [[f"{g} {s}"] for i, s in enumerate(surnames) for g in ("Susan", *["Susn"] * (i < 4), *["Susana"] * (i % 3 == 0))]
+    got = {tuple(r) for r in pairs(listed(spark.createDataFrame([(r,) for r in rows], "authors array<string>"), "authors")).collect()}
+    assert got == {(f"Susan {s}", f"Susn {s}") for s in surnames[:4]}
+
+
+def test_initials_that_look_like_suffixes_and_short_forms_of_several_names(spark):
+    rows = [["Jonathan R. Ravedor", "Ravedor JR", "JR, Ravedor", "Jonathan R. Ravedor Jr."], ["Edward Pimuran", "Ted Pimuran"], ["Theodore Keldinor", "Theo Keldinor", "Ted Keldinor"], ["Dr. Mei Tolusker", "Mei Tolusker IV"]]
+    got = {tuple(r) for r in pairs(listed(spark.createDataFrame([(r,) for r in rows], "authors array<string>"), "authors")).collect()}
+    assert got == {p for g in rows for p in itertools.combinations(sorted(g), 2)}
+
+
+def test_misspelled_fields_of_organisations(spark):
+    """A field misspelled in its first letters is the usual one; another field is another organisation."""
+    owns = ["Zol", "Keldin", "Pimur", "Tolusk", "Fastin", "Ravedor", "Bedelar", "Cederon", "Abadon", "Krovitan", "Lumeska", "Wedoran"]
+    rows = [*([f"{o} Institute for Text Analysis"] for o in owns), ["Inst. for Txt Anal., Keldin", "Pimur Institute of Text nalysis", "Zol Institute for Speech Analysis", "University Lab of"]]
+    got = {tuple(r) for r in pairs(listed(spark.createDataFrame([(r,) for r in rows], "authors array<string>"), "authors")).collect()}
+    assert got == {("Inst. for Txt Anal., Keldin", "Keldin Institute for Text Analysis"), ("Pimur Institute for Text Analysis", "Pimur Institute of Text nalysis")}
+
+
 def test_titles_tell_who_an_initial_is(spark):
     rows = [("On Parsing", ["Jonathan Ravedor"]), ("On parsing!", ["J. Ravedor"]), ("Of Birds", ["Jennifer Ravedor"]), ("Of Bees", ["Julia Ravedor", "Ravedor J"]), (None, ["Ravedor, J."])]
     df = spark.createDataFrame(rows, "title string, authors array<string>")
